@@ -6,8 +6,9 @@ necessary one for containment of the whole window, is joined: each occurrence of
 which it is the prefix, at the place the prefix has in them. Positional and length bounds leave those that fit into the
 document there, and the words themselves are compared, exactly, before any row leaves the scan.
 
-The index of windows is broadcast if a count of it, taken before, is within BROADCAST_WORDS; otherwise the words of documents are
-shuffled to it, candidates first and texts only for documents that have some.
+Words of documents are tested in place against the set of prefixes if there are at most LITERAL_WORDS of them, and else by a
+shuffle. The index of windows is broadcast if a count of its words, taken before, is within BROADCAST_WORDS, and else shuffled. What
+meets it is a prefix with the words around it, never a whole text.
 
 Cases: null texts and texts without words have no words and are never contaminated; items without words have no
 windows; repeated items count by distinct item id; repeated rows of a document each get the same result; a null item
@@ -25,6 +26,8 @@ from latticeql.llm.common import lower_ascii, text_of, written
 WINDOW = 13
 #: Words in the windows of an index that is broadcast, at most: some 20 bytes each.
 BROADCAST_WORDS = 2_000_000
+#: Prefix words that go into the plan as a set, at most; more are joined by a shuffle.
+LITERAL_WORDS = 20_000
 
 # Fixed value: what separates words, before A-Z are in lower case.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -58,32 +61,47 @@ def index(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[Data
     return written(prefix.select("p.word", F.col("p.at").alias("at"), F.size("words").alias("size"), "words", "items"), "window-index"), small
 
 
-def _fits(words: Column, at: Column, window: Column) -> Column:
-    """Whether a window's prefix at a place (from 0) of a document's words lies in an occurrence of the window."""
-    start = at - window["at"]
-    inside = (start >= 0) & (start + window["size"] <= F.size(words))
-    here = F.slice(words, F.greatest(start, F.lit(0)) + 1, window["size"])
-    return inside & (F.transform(here, lower_ascii) == window["words"])
+def _places(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """key, words, places (from 0) of words that are the prefix of a window, a row for each row of docs (key, text)."""
+    spread = docs.select("key", words_of(F.col("text")).alias("words"))
+    prefixes = windows.select("word").distinct()
+    known = [r[0] for r in prefixes.limit(LITERAL_WORDS + 1).collect()]
+    if len(known) <= LITERAL_WORDS:
+        # A hash set in the plan: a document's words are tested where they are.
+        numbers = F.sequence(F.lit(0), F.size("words") - 1)
+        places = F.filter(numbers, lambda i: F.lower(F.get("words", i)).isin(known or [""]))
+        return spread.withColumn("places", F.when(F.size("words") > 0, places).otherwise(F.array().cast("array<int>")))
+    each = spread.select("key", F.posexplode("words").alias("pos", "w")).select("key", "pos", F.lower("w").alias("word"))
+    found = each.join(prefixes, "word", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    return spread.join(found, "key", "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key, rows (of docs with this key), n_words, spans (first word, from 0, and words of each occurrence), items: of the rows of docs (key, text)."""
+    """key, rows (of docs with this key), n_words, spans (first word, from 0, and words of each occurrence), items: of the rows of
+    docs (key, text)."""
     windows, small = index(docs, items, window)
     grouped = windows.groupBy("word").agg(F.collect_list(F.struct("at", "size", "words", "items")).alias("windows"))
-    spread = docs.select("key", words_of(F.col("text")).alias("words"))
-    # The last place, beyond the words, carries the count of words and meets no window.
-    places = lambda keep: spread.select("key", *keep, F.posexplode(F.concat(F.col("words"), F.array(F.lit(None).cast("string")))).alias("pos", "w")).withColumn("word", F.lower("w"))
-    if small:
-        found = places(["words"]).join(F.broadcast(grouped), "word", "left").filter("w is null or windows is not null")
-    else:
-        candidates = written(places([]).filter("w is not null").join(grouped, "word").select("key", "pos", "windows"), "candidates")
-        found = spread.join(candidates, "key", "left")
-        ends = spread.select("key", F.lit(None).cast("array<string>").alias("words"), F.size("words").alias("pos"), F.lit(None).cast(candidates.schema["windows"].dataType).alias("windows"), F.lit(True).alias("end"))
-        found = found.filter("pos is not null").select("key", "words", "pos", "windows", F.lit(False).alias("end")).unionByName(ends)
-        found = found.withColumn("w", F.when(F.col("end"), F.lit(None).cast("string")).otherwise(F.lit("")))
-    good = F.filter("windows", lambda x: _fits(F.col("words"), F.col("pos"), x))
-    spans = F.transform(good, lambda x: F.struct((F.col("pos") - x["at"]).alias("first"), x["size"].alias("size")))
-    found = found.select("key", F.when(F.col("w").isNull(), F.col("pos")).alias("n_words"), F.when(F.col("w").isNotNull(), spans).alias("spans"), F.when(F.col("w").isNotNull(), F.array_distinct(F.flatten(F.transform(good, lambda x: x["items"])))).alias("items"))
+    # What leaves a document is, for each place, the words around it that a window can cover; the last entry stands for the row.
+    none = F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<string>").alias("around"))
+
+    def around(i: Column) -> Column:
+        first = F.greatest(i - window + 1, F.lit(0))
+        return F.struct(i.alias("pos"), F.lower(F.get("words", i)).alias("word"), F.slice("words", first + 1, i - first + window).alias("around"))
+
+    each = _places(docs, windows).select("key", F.size("words").alias("n_words"), F.explode(F.concat(F.transform("places", around), F.array(none))).alias("c"))
+    each = each.select("key", "n_words", "c.pos", "c.word", "c.around")
+    found = each.join(F.broadcast(grouped) if small else grouped, "word", "left")
+    start = lambda x: F.col("pos") - x["at"]
+    before = F.least(F.col("pos"), F.lit(window - 1))  # words of around before the prefix
+
+    def fits(x: Column) -> Column:
+        """Positional and length bounds, then the words themselves."""
+        inside = (start(x) >= 0) & (start(x) + x["size"] <= F.col("n_words"))
+        here = F.slice("around", F.greatest(before - x["at"], F.lit(0)) + 1, x["size"])
+        return inside & (F.transform(here, lower_ascii) == x["words"])
+
+    found = found.withColumn("good", F.when(F.col("pos") >= 0, F.filter("windows", fits)))
+    found = found.select("key", F.when(F.col("pos") < 0, F.col("n_words")).alias("n_words"), F.transform("good", lambda x: F.struct(start(x).alias("first"), x["size"].alias("size"))).alias("spans"), F.array_distinct(F.flatten(F.transform("good", lambda x: x["items"]))).alias("items"))
     found = found.filter("n_words is not null or size(spans) > 0")
     return found.groupBy("key").agg(F.count("n_words").alias("rows"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
