@@ -6,12 +6,13 @@ all its words and, with FUZZY words or more, to those in which one field is a wi
 one field of at most a fifth of their words share a template. A template that occurs in more than one document recurs:
 its lines stay in the first document (the smallest id) and are dropped from all others.
 
-Only 96-bit hashes of templates, with document and line numbers, are shuffled; first documents are found by partial
-minima, so a line that a third of all rows share is one row of each task, and the join back to its occurrences can be split.
+Only 64-bit hashes of templates, with document ids, are shuffled; first documents are found by partial minima, so a line that a
+third of all rows share is one row of each task. The recurring ones are broadcast to the lines if a count of them is within a
+bound, and else joined by a shuffle that the engine can split. (Unequal templates share a hash with a chance of 2^-64 a pair.)
 
 Cases: null texts are empty; lines of fewer than LEAST words never go; texts from which nothing goes stay as they
-are, and the rest are joined by line feeds (empty if all lines went); documents that share id and text are one document, and each
-row stays; null ids come first; an empty table gives an empty table. Input columns can have any name: the result has them
+are, and the rest are joined by line feeds (empty if all lines went); rows that share an id are one document, each with
+the text it has; null ids come first; ids are integers; an empty table gives an empty table. Input columns can have any name: the result has them
 with the text replaced, and a column named as one of the operator's own is replaced by it.
 """
 
@@ -20,42 +21,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticeql.llm.common import text_of
+from latticeql.llm.common import text_of, written
 
 #: Leading words of a leaf; fields behind them; words of a line that can go at all; and of one that can match with a wildcard.
 LEAD, FIELDS, LEAST, FUZZY = 3, 5, 3, 8
 
 
+#: Recurring templates, and documents that lose lines, that are broadcast, at most; some 16 and 100 bytes each.
+BROADCAST_TEMPLATES, BROADCAST_DOCUMENTS = 1_000_000, 100_000
+
+
 def parsed(line: Column) -> Column:
     """The words of a line, words with a digit as <*>."""
-    return F.filter(F.split(F.regexp_replace(line, r"\S*\d\S*", "<*>"), r"\s+"), lambda w: w != "")
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\s0-9]*+[0-9]\S*", "<*>")).otherwise(line)
+    return F.split(F.btrim(masked, F.lit(" \t\r\f\v")), r"\s+")
 
 
-def templates(words: Column) -> Column:
-    """The hashes (64 and 32 bits) of a line's templates: itself, and with each field a wildcard."""
-    n = F.size(words)
-    rest = n - LEAD
+def templates(keyed: DataFrame) -> DataFrame:
+    """id, h, no, k: the hashes of each line's templates, the line itself and with each field a wildcard. keyed: id, h, text.
+    Parts of a line are hashed once, in a projection of their own; templates are hashes of those."""
+    lines = keyed.select("id", "h", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("id", "h", "no", parsed(F.col("line")).alias("words"))
+    rest = F.greatest(F.size("words") - LEAD, F.lit(0))
 
     def field(k: int) -> Column:
-        first, end = F.floor(rest * k / FIELDS), F.floor(rest * (k + 1) / FIELDS)
-        return F.array_join(F.slice(words, (first + LEAD + 1).cast("int"), F.greatest(end - first, F.lit(0)).cast("int")), " ")
+        first, end = F.floor(rest * k / FIELDS).cast("int"), F.floor(rest * (k + 1) / FIELDS).cast("int")
+        return F.xxhash64(F.slice("words", first + LEAD + 1, end - first))
 
-    lead, fields = F.array_join(F.slice(words, 1, LEAD), " "), [field(k) for k in range(FIELDS)]
+    parts = lines.select("id", "h", "no", F.size("words").alias("n"), F.xxhash64(F.slice("words", 1, LEAD)).alias("lead"), *[field(k).alias(f"f{k}") for k in range(FIELDS)])
 
     def key(wild: int) -> Column:
-        shown = [n, F.lit(wild), lead, *(f for k, f in enumerate(fields) if k != wild)]
-        return F.struct(F.xxhash64(*shown).alias("k"), F.hash(*shown).alias("l"))
+        return F.xxhash64("n", F.lit(wild), "lead", *[f"f{k}" for k in range(FIELDS) if k != wild])
+
+    n = F.col("n")
+    keys = F.when(n >= FUZZY, F.array(*map(key, range(-1, FIELDS)))).when(n >= LEAST, F.array(key(-1))).otherwise(F.array().cast("array<bigint>"))
+    return parts.select("id", "h", "no", F.explode(keys).alias("k"))
+
 
-    return F.when(n >= FUZZY, F.array(*[key(k) for k in range(-1, FIELDS)])).otherwise(F.array(key(-1)))
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """A written table, to be broadcast if a count of its rows is within the bound."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def drops(keyed: DataFrame) -> DataFrame:
-    """key, drop (numbers of lines, from 0, sorted) for documents that lose lines. keyed: key, text."""
-    lines = keyed.select("key", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("key", "no", parsed(F.col("line")).alias("words"))
-    rows = lines.filter(F.size("words") >= LEAST).select("key", "no", F.explode(templates(F.col("words"))).alias("t")).select("key", "no", "t.k", "t.l")
-    first = rows.groupBy("k", "l").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first <> last").select("k", "l", "first")
-    gone = rows.join(first, ["k", "l"]).filter("key <> first").select("key", "no")
-    return gone.groupBy("key").agg(F.sort_array(F.collect_set("no")).alias("drop"))
+    """id, h, drop (numbers of lines, from 0, sorted) for documents that lose lines. keyed: id, h, text."""
+    rows = templates(keyed)
+    first = rows.groupBy("k").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("k", "first")
+    first = bounded(written(first, "recurring-templates"), BROADCAST_TEMPLATES)
+    gone = rows.join(first, "k").filter("id <> first").select("id", "h", "no")
+    return gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("no")).alias("drop"))
 
 
 def without(text: Column, drop: Column) -> Column:
@@ -69,12 +82,12 @@ def without(text: Column, drop: Column) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs, the text without lines of recurring templates, then n_lines and n_dropped; a row for each row."""
     text = text_of(text_col)
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.length(text).alias("n"))
-    gone = drops(docs.select(key.alias("key"), text.alias("text")))
-    rows = docs.select(key.alias("key"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = rows.withColumn("row", F.col("row").dropFields(text_col)).join(gone, "key", "left")
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), F.xxhash64(text).alias("h")]
+    gone = bounded(written(drops(docs.select(*key, text.alias("text"))), "dropped-lines"), BROADCAST_DOCUMENTS)
+    rows = docs.select(*key, text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"))
+    joined = rows.join(gone, ["id", "h"], "left")
     new = F.when(F.col("drop").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("drop")))
     n_lines, n_dropped = F.size(F.split("text", "\n")).cast("long"), F.coalesce(F.size("drop"), F.lit(0)).cast("long")
     own = {"n_lines", "n_dropped"}
     kept = [new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in own]
-    return joined.withColumn("drop", F.when(F.size("drop") > 0, F.col("drop"))).select(*kept, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    return joined.select(*kept, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
