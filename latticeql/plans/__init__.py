@@ -1,9 +1,11 @@
 """Registered queries of the grid operators and their SQL."""
 
+from latticeql.plans.grid_queries import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
