@@ -7,8 +7,8 @@ one field of at most a fifth of their words share a template. A template that oc
 its lines stay in the first document (the smallest id) and are dropped from all others.
 
 Only 64-bit hashes of templates, with document ids, are shuffled; first documents are found by partial minima, so a line that a
-third of all rows share is one row of each task. The recurring ones are broadcast to the lines if a count of them is within a
-bound, and else joined by a shuffle that the engine can split. (Unequal templates share a hash with a chance of 2^-64 a pair.)
+third of all rows share is one row of each task. The recurring ones are joined back to their
+lines by a shuffle that the engine can split. (Unequal templates share a hash with a chance of 2^-64 a pair.)
 
 Cases: null texts are empty; lines of fewer than LEAST words never go; texts from which nothing goes stay as they
 are, and the rest are joined by line feeds (empty if all lines went); rows that share an id are one document, each with
@@ -27,10 +27,6 @@ from latticeql.llm.common import text_of, written
 LEAD, FIELDS, LEAST, FUZZY = 3, 5, 3, 8
 
 
-#: Recurring templates, and documents that lose lines, that are broadcast, at most; some 16 and 100 bytes each.
-BROADCAST_TEMPLATES, BROADCAST_DOCUMENTS = 1_000_000, 100_000
-
-
 def parsed(line: Column) -> Column:
     """The words of a line, words with a digit as <*>."""
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\s0-9]*+[0-9]\S*", "<*>")).otherwise(line)
@@ -57,17 +53,11 @@ def templates(keyed: DataFrame) -> DataFrame:
     return parts.select("id", "h", "no", F.explode(keys).alias("k"))
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """A written table, to be broadcast if a count of its rows is within the bound."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def drops(keyed: DataFrame) -> DataFrame:
     """id, h, drop (numbers of lines, from 0, sorted) for documents that lose lines. keyed: id, h, text."""
     rows = templates(keyed)
     first = rows.groupBy("k").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("k", "first")
-    first = bounded(written(first, "recurring-templates"), BROADCAST_TEMPLATES)
-    gone = rows.join(first, "k").filter("id <> first").select("id", "h", "no")
+    gone = rows.join(written(first, "recurring-templates"), "k").filter("id <> first").select("id", "h", "no")
     return gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("no")).alias("drop"))
 
 
@@ -83,7 +73,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The columns of docs, the text without lines of recurring templates, then n_lines and n_dropped; a row for each row."""
     text = text_of(text_col)
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), F.xxhash64(text).alias("h")]
-    gone = bounded(written(drops(docs.select(*key, text.alias("text"))), "dropped-lines"), BROADCAST_DOCUMENTS)
+    gone = drops(docs.select(*key, text.alias("text")))
     rows = docs.select(*key, text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"))
     joined = rows.join(gone, ["id", "h"], "left")
     new = F.when(F.col("drop").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("drop")))
