@@ -53,9 +53,8 @@ def norms_sql(source: str, values: list, weight: str, keys: str = "") -> str:
     return f"m as (select {keys + ',' if keys else ''} sum({weight}) as volume, {', '.join(parts)} from {source} {by}) select {keys + ',' if keys else ''} volume, {', '.join(out)} from m"
 
 
-VOLUME = F.lit(H**3)
-add("norms_cube", lambda s, d: agg.norms(cube(s, d), ["u"], VOLUME), f"with {cube_sql()}, {norms_sql('c', ['u'], f'{H**3!r}')}")
-add("norms_wide_multi_var", lambda s, d: agg.norms(cube(s, d), ["u", "v"], VOLUME), f"with {cube_sql()}, {norms_sql('c', ['u', 'v'], f'{H**3!r}')}")
+add("norms_cube", lambda s, d: agg.norms(cube(s, d), ["u"], F.lit(H**3)), f"with {cube_sql()}, {norms_sql('c', ['u'], f'{H**3!r}')}")
+add("norms_wide_multi_var", lambda s, d: agg.norms(cube(s, d), ["u", "v"], F.lit(H**3)), f"with {cube_sql()}, {norms_sql('c', ['u', 'v'], f'{H**3!r}')}")
 add("norms_vertex_weights", lambda s, d: agg.norms(cube(s, d), ["u"], grid.vertex_weight(N)), f"with {cube_sql()}, {norms_sql('c', ['u'], '(' + ' * '.join(f'case when {a} in (0, 15) then 0.5e0 else 1e0 end' for a in AXES) + ')')}")
 add("minloc_maxloc", lambda s, d: agg.extrema(cube(s, d), "u", list(AXES)), f"""with {cube_sql()}, lo as (select * from c order by u, i, j, k limit 1), hi as (select * from c order by u desc, i, j, k limit 1)
 select lo.u as min, lo.i as min_i, lo.j as min_j, lo.k as min_k, hi.u as max, hi.i as max_i, hi.j as max_j, hi.k as max_k from lo, hi""")
@@ -286,22 +285,35 @@ for _d, _expr in (((1, 0, 0), "1 - 4 * z"), ((0, 1, 0), "2e0"), ((0, 0, 1), "-4
 
 # -- algebra -----------------------------------------------------------------------------------------------------------
 
-E = [U("e")[n] for n in range(9)]
-M3 = [[E[3 * r + c] + F.lit(4.0 if r == c else 0.0) for c in range(3)] for r in range(3)]
+def E():
+    return [U("e")[n] for n in range(9)]
+
+
+def M3():
+    return [[E()[3 * r + c] + F.lit(4.0 if r == c else 0.0) for c in range(3)] for r in range(3)]
+
+
+
 _e = lambda n: f"embedding[{n + 1}]::double"
 _m = lambda r, c: f"({_e(3 * r + c)}{' + 4' if r == c else ''})"
 _det = f"({_m(0, 0)} * ({_m(1, 1)} * {_m(2, 2)} - {_m(1, 2)} * {_m(2, 1)}) - {_m(0, 1)} * ({_m(1, 0)} * {_m(2, 2)} - {_m(1, 2)} * {_m(2, 0)}) + {_m(0, 2)} * ({_m(1, 0)} * {_m(2, 1)} - {_m(1, 1)} * {_m(2, 0)}))"
-add("tensor_det_inv_trace", lambda s, d: particles(s, d).select("id", F.round(S.det(M3), 6).alias("det"), F.round(S.inverse(M3)[0][0], 6).alias("inv00"), F.round(S.inverse(M3)[0][1], 6).alias("inv01"), F.round(S.trace(M3, [[F.lit(1.0 if r == c else 0.0) for c in range(3)] for r in range(3)]), 6).alias("trace")), f"select vec_id as id, round({_det}, 6) as det, round(({_m(1, 1)} * {_m(2, 2)} - {_m(1, 2)} * {_m(2, 1)}) / {_det}, 6) as inv00, round(-({_m(0, 1)} * {_m(2, 2)} - {_m(0, 2)} * {_m(2, 1)}) / {_det}, 6) as inv01, round({_m(0, 0)} + {_m(1, 1)} + {_m(2, 2)}, 6) as trace from embeddings")
-add("vect_ops", lambda s, d: particles(s, d).select("id", F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 6).alias("sum"), F.array_max("e").alias("maximum"), F.array_min("e").alias("minimum"), F.round(S.dot(E[:3], E[3:6]), 6).alias("dot"), F.array_max(F.transform("e", F.abs)).alias("maxabs"), F.exists("e", lambda x: x > 1).alias("some_large"), F.forall("e", lambda x: x > -3).alias("none_small")), f"with p as (select vec_id as id, [{', '.join(map(_e, range(9)))}] as e from embeddings) select id, round(list_sum(e), 6) as sum, list_max(e) as maximum, list_min(e) as minimum, round(e[1] * e[4] + e[2] * e[5] + e[3] * e[6], 6) as dot, list_max(list_transform(e, lambda x: abs(x))) as maxabs, list_max(e) > 1 as some_large, list_min(e) > -3 as none_small from p")
+add("tensor_det_inv_trace", lambda s, d: particles(s, d).select("id", F.round(S.det(M3()), 6).alias("det"), F.round(S.inverse(M3())[0][0], 6).alias("inv00"), F.round(S.inverse(M3())[0][1], 6).alias("inv01"), F.round(S.trace(M3(), [[F.lit(1.0 if r == c else 0.0) for c in range(3)] for r in range(3)]), 6).alias("trace")), f"select vec_id as id, round({_det}, 6) as det, round(({_m(1, 1)} * {_m(2, 2)} - {_m(1, 2)} * {_m(2, 1)}) / {_det}, 6) as inv00, round(-({_m(0, 1)} * {_m(2, 2)} - {_m(0, 2)} * {_m(2, 1)}) / {_det}, 6) as inv01, round({_m(0, 0)} + {_m(1, 1)} + {_m(2, 2)}, 6) as trace from embeddings")
+add("vect_ops", lambda s, d: particles(s, d).select("id", F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 6).alias("sum"), F.array_max("e").alias("maximum"), F.array_min("e").alias("minimum"), F.round(S.dot(E()[:3], E()[3:6]), 6).alias("dot"), F.array_max(F.transform("e", F.abs)).alias("maxabs"), F.exists("e", lambda x: x > 1).alias("some_large"), F.forall("e", lambda x: x > -3).alias("none_small")), f"with p as (select vec_id as id, [{', '.join(map(_e, range(9)))}] as e from embeddings) select id, round(list_sum(e), 6) as sum, list_max(e) as maximum, list_min(e) as minimum, round(e[1] * e[4] + e[2] * e[5] + e[3] * e[6], 6) as dot, list_max(list_transform(e, lambda x: abs(x))) as maxabs, list_max(e) > 1 as some_large, list_min(e) > -3 as none_small from p")
 _I = lambda s: s.range(400).select("id", (U("id") % 20 - 10).alias("a"), (F.floor(U("id") / 20) - 10).cast("long").alias("b"))
 _IS = "p as (select r as id, r % 20 - 10 as a, r // 20 - 10 as b from range(400) t(r))"
 add("floor_ceil_div", lambda s, d: _I(s).filter("b <> 0").select("id", *[getattr(S, n)(U("a"), U("b")).alias(n) for n in ("div_floor", "mod_floor", "div_ceil", "mod_ceil", "align_floor", "align_ceil")]), f"with {_IS}, q as (select id, a, b, floor(a::double / b)::bigint as f, ceil(a::double / b)::bigint as c from p where b <> 0) select id, f as div_floor, a - b * f as mod_floor, c as div_ceil, a - b * c as mod_ceil, b * f as align_floor, b * c as align_ceil from q")
 _pair = lambda c, f: [x.alias(n) for x, n in zip(f, c, strict=True)]
-_a, _b = (U("a").cast("double"), U("b").cast("double")), (U("b").cast("double"), F.lit(2.0))
-add("complex_ops", lambda s, d: _I(s).select("id", *_pair(("mul_re", "mul_im"), S.c_mul(_a, _b)), *_pair(("div_re", "div_im"), S.c_div(_a, _b)), F.sqrt(_a[0] * _a[0] + _a[1] * _a[1]).alias("abs"), F.round(S.c_exp((_a[0] / 4, _a[1]))[0], 6).alias("exp_re")), f"with {_IS} select id, (a * b - b * 2)::double as mul_re, (a * 2 + b * b)::double as mul_im, (a * b + b * 2)::double / (b * b + 4) as div_re, (b * b - a * 2)::double / (b * b + 4) as div_im, sqrt((a * a + b * b)::double) as abs, round(exp(a / 4e0) * cos(b::double), 6) as exp_re from p")
-add("dual_ops", lambda s, d: _I(s).filter("b > 0").select("id", *_pair(("mul_val", "mul_eps"), S.d_mul(_a, _b)), *_pair(("div_val", "div_eps"), S.d_div(_a, _b)), *_pair(("sqrt_val", "sqrt_eps"), S.d_sqrt(_b)), *_pair(("min_val", "min_eps"), S.d_min(_a, _b))), f"with {_IS} select id, (a * b)::double as mul_val, (a * 2 + b * b)::double as mul_eps, a::double / b as div_val, (b - a::double / b * 2) / b as div_eps, sqrt(b::double) as sqrt_val, 2e0 / (2 * sqrt(b::double)) as sqrt_eps, least(a, b)::double as min_val, case when a <= b then b else 2 end::double as min_eps from p where b > 0")
+
+
+def _ab():
+    return (U("a").cast("double"), U("b").cast("double")), (U("b").cast("double"), F.lit(2.0))
+
+
+
+add("complex_ops", lambda s, d: _I(s).select("id", *_pair(("mul_re", "mul_im"), S.c_mul(*_ab())), *_pair(("div_re", "div_im"), S.c_div(*_ab())), F.sqrt(_ab()[0][0] * _ab()[0][0] + _ab()[0][1] * _ab()[0][1]).alias("abs"), F.round(S.c_exp((_ab()[0][0] / 4, _ab()[0][1]))[0], 6).alias("exp_re")), f"with {_IS} select id, (a * b - b * 2)::double as mul_re, (a * 2 + b * b)::double as mul_im, (a * b + b * 2)::double / (b * b + 4) as div_re, (b * b - a * 2)::double / (b * b + 4) as div_im, sqrt((a * a + b * b)::double) as abs, round(exp(a / 4e0) * cos(b::double), 6) as exp_re from p")
+add("dual_ops", lambda s, d: _I(s).filter("b > 0").select("id", *_pair(("mul_val", "mul_eps"), S.d_mul(*_ab())), *_pair(("div_val", "div_eps"), S.d_div(*_ab())), *_pair(("sqrt_val", "sqrt_eps"), S.d_sqrt(_ab()[1])), *_pair(("min_val", "min_eps"), S.d_min(*_ab()))), f"with {_IS} select id, (a * b)::double as mul_val, (a * 2 + b * b)::double as mul_eps, a::double / b as div_val, (b - a::double / b * 2) / b as div_eps, sqrt(b::double) as sqrt_val, 2e0 / (2 * sqrt(b::double)) as sqrt_eps, least(a, b)::double as min_val, case when a <= b then b else 2 end::double as min_eps from p where b > 0")
 add("rational_ops", lambda s, d: _I(s).filter("b <> 0").select("id", *_pair(("num", "den"), S.r_normal(U("a") * 6, U("b") * 4))), f"with {_IS} select id, (case when b < 0 then -1 else 1 end * (a * 6) // greatest(gcd(a * 6, b * 4), 1))::bigint as num, (case when b < 0 then -1 else 1 end * (b * 4) // greatest(gcd(a * 6, b * 4), 1))::bigint as den from p where b <> 0")
-add("scalar_ops", lambda s, d: _I(s).select("id", S.pown(_a[0], 3).alias("cubed"), (S.flipsign(_a[0], _a[1]) + F.lit(0.0)).alias("flipped"), S.max1(_a[0], _a[1]).alias("larger"), S.min1(_a[0], _a[1]).alias("smaller"), S.linterp(F.lit(-10.0), F.lit(0.0), F.lit(10.0), F.lit(1.0), _a[0]).alias("part"), F.lit(float(S.factorial(6))).alias("six")), f"with {_IS} select id, (a * a * a)::double as cubed, case when b < 0 then -a else a end::double as flipped, greatest(a, b)::double as larger, least(a, b)::double as smaller, (a + 10) / 20e0 as part, 720e0 as six from p")
+add("scalar_ops", lambda s, d: _I(s).select("id", S.pown(_ab()[0][0], 3).alias("cubed"), (S.flipsign(_ab()[0][0], _ab()[0][1]) + F.lit(0.0)).alias("flipped"), S.max1(_ab()[0][0], _ab()[0][1]).alias("larger"), S.min1(_ab()[0][0], _ab()[0][1]).alias("smaller"), S.linterp(F.lit(-10.0), F.lit(0.0), F.lit(10.0), F.lit(1.0), _ab()[0][0]).alias("part"), F.lit(float(S.factorial(6))).alias("six")), f"with {_IS} select id, (a * a * a)::double as cubed, case when b < 0 then -a else a end::double as flipped, greatest(a, b)::double as larger, least(a, b)::double as smaller, (a + 10) / 20e0 as part, 720e0 as six from p")
 add("nan_propagation", lambda s, d: s.range(4).select("id", F.isnan(S.min1(F.when(U("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(1.0)), U("id").cast("double"))).alias("is_nan")), "select r as id, r % 2 = 0 as is_nan from range(4) t(r)")
 add("root_bisect", lambda s, d: s.range(1, 41).select("id", F.round(S.bisect(lambda x: x * x - U("id").cast("double"), F.lit(0.0), F.lit(8.0), 50), 9).alias("root")), "select r as id, round(sqrt(r::double), 9) as root from range(1, 41) t(r)")
 add("root_newton", lambda s, d: s.range(1, 41).select("id", F.round(S.newton(lambda x: x * x - U("id").cast("double"), lambda x: F.lit(2.0) * x, F.lit(4.0), 12), 9).alias("root")), "select r as id, round(sqrt(r::double), 9) as root from range(1, 41) t(r)")
@@ -371,6 +383,6 @@ add("streaming_restrict_analogue", lambda s, d: __import__("latticeql.streaming.
 add("validity_check", lambda s, d: quality.invalid(quality.poison(cube(s, d), "u", N), ["u", "v"], N), f"with {cube_sql()}, q as (select case when {region_sql()} then 'int' else 'bnd' end as region from c) select variable, region, count(*) as points, sum(case when variable = 'u' and region = 'bnd' then 1 else 0 end)::bigint as undefined from q, (values ('u'), ('v')) t(variable) group by 1, 2")
 add("dedup_ghost_rows", lambda s, d: tsv.keep_first(cube(s, d).select(*AXES, "u", F.lit(0).alias("isghost")).unionByName(cube(s, d).filter(U("i") < 3).select(*AXES, (U("u") + 1).alias("u"), F.lit(1).alias("isghost"))), list(AXES)), f"with {cube_sql()} select i, j, k, u from c")
 add("particles_stats", lambda s, d: particles(s, d).groupBy("label").agg(F.count("*").alias("n"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.round(F.avg("z"), 6).alias("z_avg")), f"select label, count(*) as n, max({_e(0)}) as x_max, min({_e(1)}) as y_min, round(avg({_e(2)}), 6) as z_avg from embeddings group by label")
-add("exact_error", lambda s, d: agg.norms(linear_grid(s).withColumn("u", U("f") - (U("x") + F.lit(2.0) * U("y") - F.lit(4.0) * U("z") * U("x"))), ["u"], VOLUME).select("u_maxabs"), "select 0e0 as u_maxabs")
+add("exact_error", lambda s, d: agg.norms(linear_grid(s).withColumn("u", U("f") - (U("x") + F.lit(2.0) * U("y") - F.lit(4.0) * U("z") * U("x"))), ["u"], F.lit(H**3)).select("u_maxabs"), "select 0e0 as u_maxabs")
 add("geo_patches", lambda s, d: s.read.parquet(f"{d}/customer.parquet").join(s.read.parquet(f"{d}/nation.parquet"), U("c_nationkey") == U("n_nationkey")).groupBy(U("n_regionkey").alias("patch"), U("n_nationkey").alias("component")).agg(F.count("*").alias("points")), "select n_regionkey as patch, n_nationkey as component, count(*) as points from customer join nation on c_nationkey = n_nationkey group by 1, 2")
 add("manifest", lambda s, d: s.createDataFrame([("norms", 24, "u,v"), ("lines", 24, "u")], "kind string, every long, variables string"))
