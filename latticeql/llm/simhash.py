@@ -13,7 +13,8 @@ its blocks. A block pair emits the edges of a spanning forest, not all pairs, so
 entered. Components come from alternating large-star and small-star rounds over written tables.
 
 Cases: null and empty texts, and texts without words, have fingerprint zero; equal fingerprints always share a component;
-repeated rows stay repeated rows; null ids are components of their fingerprint's smallest id; an empty table gives
+repeated rows stay repeated rows; links are between fingerprints, so rows of one id with different texts can be in different
+components; null ids are linked like any other, and a component without any other id has the null id; an empty table gives
 an empty table. Only the named columns are read, so other columns can have any name.
 """
 
@@ -59,14 +60,15 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """id, fp (the fingerprint as a signed long), written once."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, also: dict | None = None) -> DataFrame:
+    """id, fp (the fingerprint as a signed long) and further columns (also: by name), written once."""
 
     def prints(text: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(x, words) for x in bpe.texts(text)], np.uint64).view(np.int64))
 
     bound_batches(docs.sparkSession)
-    return written(docs.select(F.col(id_col).cast("long").alias("id"), F.arrow_udf(prints, "long")(text_of(text_col)).alias("fp")), "fingerprints")
+    more = [c.alias(name) for name, c in (also or {}).items()]
+    return written(docs.select(F.col(id_col).cast("long").alias("id"), F.arrow_udf(prints, "long")(text_of(text_col)).alias("fp"), *more), "fingerprints")
 
 
 @lru_cache(maxsize=1)
@@ -271,11 +273,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """id_col, fp (signed long), component_id (the smallest id reachable): a row for each row of docs."""
-    prints = fingerprints(docs, id_col, text_col, words)
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block: int = BLOCK, also: dict | None = None) -> DataFrame:
+    """id_col, fp (signed long), component (the smallest fingerprint reachable), component_id (the smallest id there), and
+    further columns of docs (also: by name): a row for each row of docs."""
+    prints = fingerprints(docs, id_col, text_col, words, also)
     reps = written(prints.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
-    some = reps.filter("rep is not null")
-    found = components(links(some, block=block))
-    classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    found = components(links(reps.select("fp", F.col("fp").alias("rep")), block=block))
+    labelled = reps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = labelled.drop("rep").join(least, "component")
+    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component", "component_id", *(also or {}))
