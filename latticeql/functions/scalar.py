@@ -158,3 +158,125 @@ def bisect(f, low: Column, high: Column, steps: int) -> Column:
 
 def newton(f, df, x: Column, steps: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, lambda s, _: s - f(s) / df(s))
+
+
+def halley(f, df, ddf, x: Column, steps: int) -> Column:
+    turn = lambda s, _: s - 2 * f(s) * df(s) / (2 * df(s) * df(s) - f(s) * ddf(s))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, turn)
+
+
+def schroder(f, df, ddf, x: Column, steps: int) -> Column:
+    turn = lambda s, _: s - f(s) / df(s) - f(s) * f(s) * ddf(s) / (2 * df(s) * df(s) * df(s))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, turn)
+
+
+def newton2(f, jacobian, x: Column, y: Column, steps: int) -> tuple:
+    """Newton's method for two equations: f(x, y) gives two columns, jacobian(x, y) their four derivatives by rows."""
+
+    def turn(s: Column, _: Column) -> Column:
+        (u, v), (a, b, c, d) = f(s["x"], s["y"]), jacobian(s["x"], s["y"])
+        n = a * d - b * c
+        return F.struct((s["x"] - (d * u - b * v) / n).alias("x"), (s["y"] - (a * v - c * u) / n).alias("y"))
+
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(x.alias("x"), y.alias("y")), turn)
+    return out["x"], out["y"]
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def bracket(f, guess: Column, factor: float, steps: int) -> tuple:
+    """Ends with a root of an increasing function between them, from a positive guess: multiplied or divided by the factor until the
+    sign changes."""
+
+    def turn(s: Column, _: Column) -> Column:
+        up, down = F.struct(s["b"].alias("a"), (s["b"] * F.lit(factor)).alias("b")), F.struct((s["a"] / F.lit(factor)).alias("a"), s["a"].alias("b"))
+        return F.when(f(s["b"]) < 0, up).when(f(s["a"]) > 0, down).otherwise(s)
+
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(guess.alias("a"), guess.alias("b")), turn)
+    return out["a"], out["b"]
+
+
+def brent(f, low: Column, high: Column, steps: int) -> Column:
+    """A root between two places of opposite sign: secant or inverse quadratic steps that fall back to halving."""
+
+    def state(a, fa, b, fb, c, fc) -> Column:
+        """b is the better end."""
+        names = ("a", "fa", "b", "fb", "c", "fc")
+        straight = F.struct(*[x.alias(n) for x, n in zip((a, fa, b, fb, c, fc), names, strict=True)])
+        turned = F.struct(*[x.alias(n) for x, n in zip((b, fb, a, fa, c, fc), names, strict=True)])
+        return F.when(F.abs(fa) >= F.abs(fb), straight).otherwise(turned)
+
+    def turn(s: Column, _: Column) -> Column:
+        a, fa, b, fb, c, fc = (s[n] for n in ("a", "fa", "b", "fb", "c", "fc"))
+        ratio = F.try_divide
+        quadratic = a * ratio(fb * fc, (fa - fb) * (fa - fc)) + b * ratio(fa * fc, (fb - fa) * (fb - fc)) + c * ratio(fa * fb, (fc - fa) * (fc - fb))
+        step = F.coalesce(quadratic, b - ratio(fb * (b - a), fb - fa), b)
+        edge, half = (F.lit(3.0) * a + b) / F.lit(4.0), (a + b) / F.lit(2.0)
+        good = step.between(F.least(edge, b), F.greatest(edge, b)) & (F.abs(step - b) < F.abs(b - c))
+        moved = lambda x: let(f(x["x"]), lambda y: F.when(fa * y < 0, state(a, fa, x["x"], y, b, fb)).otherwise(state(x["x"], y, b, fb, b, fb)))
+        return F.when((fb == 0) | (a == b), s).otherwise(let(F.when(good, step).otherwise(half), lambda x: let(F.struct(x.alias("x")), moved)))
+
+    start = state(low, f(low), high, f(high), low, f(low))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, turn, lambda s: s["b"])
+
+
+def c_sqrt(a: tuple) -> tuple:
+    """The root with a real part of at least 0."""
+    r = F.sqrt(a[0] * a[0] + a[1] * a[1])
+    im = F.sqrt(F.greatest((r - a[0]) / F.lit(2.0), F.lit(0.0)))
+    return F.sqrt(F.greatest((r + a[0]) / F.lit(2.0), F.lit(0.0))), F.when(a[1] < 0, -im).otherwise(im)
+
+
+def c_pow(a: tuple, n: int) -> tuple:
+    out = (F.lit(1.0), F.lit(0.0))
+    for _ in range(abs(n)):
+        out = c_mul(out, a)
+    return c_div((F.lit(1.0), F.lit(0.0)), out) if n < 0 else out
+
+
+def c_sin(a: tuple) -> tuple:
+    return F.sin(a[0]) * F.cosh(a[1]), F.cos(a[0]) * F.sinh(a[1])
+
+
+def c_cos(a: tuple) -> tuple:
+    return F.cos(a[0]) * F.cosh(a[1]), -F.sin(a[0]) * F.sinh(a[1])
+
+
+def d_exp(a: tuple) -> tuple:
+    return F.exp(a[0]), a[1] * F.exp(a[0])
+
+
+def d_sin(a: tuple) -> tuple:
+    return F.sin(a[0]), a[1] * F.cos(a[0])
+
+
+def d_cos(a: tuple) -> tuple:
+    return F.cos(a[0]), -a[1] * F.sin(a[0])
+
+
+def d_pow(a: tuple, n: int) -> tuple:
+    return pown(a[0], n), F.lit(float(n)) * pown(a[0], n - 1) * a[1]
+
+
+def d_abs(a: tuple) -> tuple:
+    return F.abs(a[0]), flipsign(a[1], a[0])
+
+
+def r_add(a: tuple, b: tuple) -> tuple:
+    return r_normal(a[0] * b[1] + b[0] * a[1], a[1] * b[1])
+
+
+def r_mul(a: tuple, b: tuple) -> tuple:
+    return r_normal(a[0] * b[0], a[1] * b[1])
+
+
+def r_div(a: tuple, b: tuple) -> tuple:
+    return r_normal(a[0] * b[1], a[1] * b[0])
+
+
+def r_less(a: tuple, b: tuple) -> Column:
+    """For positive denominators."""
+    return a[0] * b[1] < b[0] * a[1]

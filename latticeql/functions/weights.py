@@ -89,3 +89,24 @@ def whole(row: dict) -> tuple[dict, int]:
     """(integer weights, their common denominator)."""
     den = lcm(1, *(Fraction(w).denominator for w in row.values()))
     return {k: int(w * den) for k, w in row.items()}, den
+
+
+def lobatto(n: int) -> list:
+    """The n Gauss-Lobatto nodes on [-1, 1]: the ends and the roots of the Legendre polynomial's derivative."""
+    import numpy as np
+
+    inner = np.polynomial.legendre.Legendre.basis(n - 1).deriv().roots() if n > 2 else np.zeros(0)
+    inner = np.sort(np.real(inner))
+    return [-1.0, *((inner - inner[::-1]) / 2).tolist(), 1.0]
+
+
+def collocation(n: int) -> list:
+    """The matrix of derivatives at the Gauss-Lobatto nodes from values there, by barycentric weights."""
+    from math import prod
+
+    x = lobatto(n)
+    w = [1 / prod(a - b for b in x if b != a) for a in x]
+    rows = [[w[q] / w[p] / (x[p] - x[q]) if p != q else 0.0 for q in range(n)] for p in range(n)]
+    for p, row in enumerate(rows):
+        row[p] = -sum(row)
+    return rows

@@ -22,9 +22,14 @@ def restrict(df: DataFrame, value: str, centring: str = "ccc") -> DataFrame:
 def prolongate(df: DataFrame, value: Column, left: dict, right: dict, name: str = "value") -> DataFrame:
     """Coarse to fine: each fine point 2 * i + off is the weighted sum of a row for its child, left or right, along each axis.
     Coarse points scatter to the fine ones; those with a whole stencil stay."""
+    return prolongate_axes(df, value, [(left, right)] * 3, name)
+
+
+def prolongate_axes(df: DataFrame, value: Column, rows: list, name: str = "value") -> DataFrame:
+    """As prolongate, with a pair of rows for each axis: mixed centrings."""
     moves, sizes, dens = [], {}, {}
     for off in cartesian((0, 1), repeat=3):
-        weights, den = whole(product(*[(left, right)[o] for o in off]))
+        weights, den = whole(product(*[pair[o] for pair, o in zip(rows, off, strict=True)]))
         sizes[off], dens[off] = len(weights), den
         moves += [F.struct(*[F.lit(2 * -d + o).alias(f"d{a}") for a, d, o in zip(AXES, k, off, strict=True)], F.lit(float(w)).alias("w")) for k, w in weights.items()]
     sent = df.select(*AXES, value.alias("v_")).withColumn("m", F.explode(F.array(*moves)))

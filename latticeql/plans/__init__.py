@@ -1,11 +1,11 @@
 """Registered queries of the grid operators and their SQL."""
 
-from latticeql.plans.grid_queries import QUERIES, SQL
+from latticeql.plans import grid_queries, more_queries
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return grid_queries.QUERIES | more_queries.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(SQL)
+    return grid_queries.SQL | more_queries.SQL

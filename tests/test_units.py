@@ -64,3 +64,42 @@ def test_stream_matches_batch(spark, tmp_path):
     batch = {tuple(r) for r in hourly(e, 4).collect()}
     done = {tuple(r) for r in out.collect()}
     assert done <= batch and len(done) >= 0.9 * len(batch)
+
+
+@pytest.mark.parametrize("method,order", [("rkf78", 7), ("dp87", 8), ("rk4", 4)])
+def test_integrators_meet_their_order(method, order):
+    from latticeql.operators.ode import TABLEAUS
+
+    rows, weights = TABLEAUS[method]
+    # y' = y makes each step a polynomial in h, whose terms up to the order are those of the exponential.
+    stages = []
+    for row in rows:
+        total = [Q(1)] + [Q(0)] * len(rows)
+        for a, k in zip(row, stages, strict=False):
+            total = [x + a * y for x, y in zip(total, [Q(0), *k], strict=False)]
+        stages.append(total)
+    step = [Q(1)] + [sum((w * k[m] for w, k in zip(weights, stages, strict=True)), Q(0)) for m in range(len(rows))]
+    factorial = 1
+    for m in range(1, order + 1):
+        factorial *= m
+        assert abs(float(step[m] - Q(1, factorial))) < 1e-14
+
+
+def test_collocation_is_exact_for_polynomials():
+    for n in (2, 3, 4, 8):
+        x, d = W.lobatto(n), W.collocation(n)
+        for m in range(n):
+            for p in range(n):
+                assert abs(sum(w * y**m for w, y in zip(d[p], x, strict=True)) - (m * x[p] ** (m - 1) if m else 0)) < 1e-11
+
+
+def test_termination_and_selection():
+    from latticeql.operators import control
+
+    at = {"iteration": 10, "time": 0.5, "runtime": 3.0, "last_iteration": 10, "last_time": 1.0}
+    assert [k for k in ("never", "iteration", "time", "runtime", "any", "all", "either", "both") if control.ended(k, **at)] == ["iteration", "any", "either"]
+    assert control.ended("all", **{**at, "last_time": 0.5, "last_runtime": 1.0}) and not control.ended("runtime", **at)
+    assert control.chosen("rho, state", ["x", "u", "rho", "v"], {"state": ["u", "v"]}) == ["u", "rho", "v"]
+    with pytest.raises(ValueError):
+        control.chosen("w", ["x"])
+    assert (control.cadence(-1, 8), control.cadence(0, 8), control.cadence(2, 8)) == (8, 0, 2)
