@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +39,7 @@ BOILERPLATE = set(
     " newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs"
     " footer header masthead comment comments disqus reply replies respond pagination pager toolbar toc skip search complementary contentinfo".split()
 )
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S | re.I)
 MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -62,10 +63,20 @@ def _boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
     return tag in SKIP or bool(words & BOILERPLATE), tag in ("aside", "form", "footer") or bool(words & NESTING)
 
 
+def _without_loose_ends(page: str) -> str:
+    """The page with what can't begin a tag any more, as no tag ends behind it, as references: a scan from each such place to the
+    end would take quadratic time. Open comments stay."""
+    end = page.rfind(">") + 1
+    comment = page.find("<!--", end)
+    tail = page[end:] if comment < 0 else page[end:comment]
+    return page if "<" not in tail else page[:end] + tail.replace("<", "&lt;") + ("" if comment < 0 else page[comment:])
+
+
 def lines_of(page: str) -> tuple[list, list]:
     """(texts, whether in a marked article) of the lines. Stripped elements leave WINDOW empty lines."""
     texts, inside, here = [], [], []
     stack: list = []  # of (tag, whether it is boilerplate, an article, boilerplate with all articles in it)
+    opened: Counter = Counter()  # the tags on the stack
     skips = mains = 0
 
     def end_line():
@@ -77,11 +88,12 @@ def lines_of(page: str) -> tuple[list, list]:
 
     def pop():
         nonlocal skips, mains
-        _, skip, main, _ = stack.pop()
+        tag, skip, main, _ = stack.pop()
+        opened[tag] -= 1
         skips -= skip
         mains -= main
 
-    for m in TOKEN.finditer(page):
+    for m in TOKEN.finditer(_without_loose_ends(page)):
         if m[5] is not None:
             if not skips:
                 here.append(m[5])
@@ -94,7 +106,7 @@ def lines_of(page: str) -> tuple[list, list]:
         if tag not in INLINE and not skips:
             end_line()
         if m[2]:
-            if any(x[0] == tag for x in stack):
+            if opened[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -112,6 +124,7 @@ def lines_of(page: str) -> tuple[list, list]:
             inside.extend([mains > 0] * WINDOW)
         main = tag in MAIN and not skips and not skip
         stack.append((tag, skip, main, nesting))
+        opened[tag] += 1
         skips += skip
         mains += main
     if not skips:

@@ -186,3 +186,36 @@ def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for out in (bpe.encode(none, VOCABULARY), token_files.read(token_files.write(none, VOCABULARY, 2)), exact_dedup.dedup(none), simhash.near_duplicates(none), line_dedup.dedup_lines(none), decontam.decontaminate(none, spark.createDataFrame([], "item_id long, text string"))):
         assert out.count() == 0
+
+
+def test_html_of_malformed_and_very_long_pages():
+    assert html_text.extract("<article><p>" + "one <b>two</b> three <p>" * 20_000) == " ".join(["one two three"] * 20_000)
+    assert html_text.extract("<article>" + "a<b " * 20_000).startswith("a<b a<b")
+    assert html_text.extract("<article><p>x</p><!-- open <b") == "x"
+    assert html_text.extract("<font>" * 5000 + "<article>" + "<p>a</p>" * 5000) == " ".join("a" * 5000)
+
+
+def test_other_empty_tables(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string, file string")
+    assert html_text.extracted(pages).count() == 0
+    assert warc.read(warc.rewrite(warc.resolve(warc.write(pages)))).count() == 0
+    rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string, seq string")
+    assert chat.render(chat.reconstruct(chat.events_of_rows(rows))).count() == 0
+    none = spark.createDataFrame([], "doc_id long, text string")
+    model = quality.fit(none, spark.createDataFrame([], "doc_id long, quality int"))
+    assert none.select(quality.scored(model)).count() == 0
+
+
+def test_rows_of_nulls_and_clashing_names(spark):
+    docs = spark.createDataFrame([(None, None, "a", "b"), (None, None, "a", "b"), (1, "x " * 200_000, "a", "b")], "doc_id long, text string, id string, key string")
+    assert [r.n_tokens for r in bpe.encode(docs, VOCABULARY).orderBy("n_tokens").collect()] == [0, 0, 200_000]
+    assert token_files.read(token_files.write(docs, VOCABULARY, 2)).count() == 3
+    assert sorted(r.group_size for r in exact_dedup.dedup(docs).collect()) == [1, 2, 2]
+    assert sorted(str(r.component_id) for r in simhash.near_duplicates(docs).collect()) == ["1", "None", "None"]
+    assert line_dedup.dedup_lines(docs).columns[:4] == ["doc_id", "text", "id", "key"] and line_dedup.dedup_lines(docs).count() == 3
+    assert decontam.decontaminate(docs, spark.createDataFrame([(None, None, 1)], "item_id long, text string, key int")).count() == 3
+    pages = spark.createDataFrame([(None, None, None, "f"), (None, None, "<article>text", "f")], "page_id long, url string, html string, file string")
+    assert sorted(r.text for r in html_text.extracted(pages).collect()) == ["", "text"]
+    assert warc.read(warc.rewrite(warc.resolve(warc.write(pages)))).count() == 2
+    turns = spark.createDataFrame([(None, None, None, None, "s"), (1, None, "assistant", "x<y", "s")], "conv_id long, turn long, role string, text string, seq string")
+    assert chat.render(chat.reconstruct(chat.events_of_rows(turns))).count() == 2
