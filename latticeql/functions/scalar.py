@@ -280,3 +280,20 @@ def r_div(a: tuple, b: tuple) -> tuple:
 def r_less(a: tuple, b: tuple) -> Column:
     """For positive denominators."""
     return a[0] * b[1] < b[0] * a[1]
+
+
+def sum_symm(n: int, term) -> Column:
+    """The sum of term(a, b), symmetric in both, over all pairs of n indices, from those with a <= b."""
+    return sum((F.lit(1.0 if a == b else 2.0) * term(a, b) for a in range(n) for b in range(a, n)), F.lit(0.0))
+
+
+def checked(a: Column, b: Column) -> dict:
+    """Sum, difference, product and negative of whole numbers; null where they overflow. Operands are bound first: the optimizer
+    would else fold the constants of nested products, and an overflow of its own would look like one of theirs."""
+    bound = F.struct(a.alias("a"), b.alias("b"))
+    rules = {"added": F.try_add, "subtracted": F.try_subtract, "multiplied": F.try_multiply}
+
+    def of(rule) -> Column:
+        return let(bound, lambda x: rule(x["a"], x["b"]))
+
+    return {n: of(rule) for n, rule in rules.items()} | {"negated": let(a, lambda x: F.try_subtract(F.lit(0).cast("long"), x))}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeql.operators.grid import region
+from latticeql.operators.grid import AXES, region
 
 
 def poison(df: DataFrame, value: str, n: int, where: str = "bnd") -> DataFrame:
@@ -24,3 +24,17 @@ def require(df: DataFrame, values: list) -> DataFrame:
     for v in values:
         df = df.filter(F.assert_true(F.col(v).isNotNull() & ~F.isnan(v), F.lit(f"{v} is undefined")).isNull())
     return df
+
+
+def changed(before: DataFrame, after: DataFrame, values: list, n: int) -> DataFrame:
+    """Points by region whose values a kernel changed, by a checksum of each point's values: what it changed outside of the region it
+    declares is an error of its own."""
+    code = F.xxhash64(*[F.col(v) for v in values])
+    both = before.select(*AXES, code.alias("was")).join(after.select(*AXES, code.alias("now")), list(AXES), "full")
+    return both.groupBy(region(n).alias("region")).agg(F.sum((~F.col("was").eqNullSafe(F.col("now"))).cast("bigint")).alias("changed"))
+
+
+def provenance(history: DataFrame) -> DataFrame:
+    """variable, region, valid and why, as the last step of a history (step, variable, region, valid, why) left them."""
+    last = F.max(F.struct("step", "valid", "why")).alias("last")
+    return history.groupBy("variable", "region").agg(last).select("variable", "region", "last.valid", "last.why")

@@ -1,11 +1,11 @@
 """Registered queries of the grid operators and their SQL."""
 
-from latticeql.plans import grid_queries, more_queries
+from latticeql.plans import grid_queries, level_queries, more_queries
 
 
 def queries() -> dict:
-    return grid_queries.QUERIES | more_queries.QUERIES
+    return grid_queries.QUERIES | more_queries.QUERIES | level_queries.QUERIES
 
 
 def oracle_sql() -> dict:
-    return grid_queries.SQL | more_queries.SQL
+    return grid_queries.SQL | more_queries.SQL | level_queries.SQL
