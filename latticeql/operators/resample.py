@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import product as cartesian
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticeql.functions.weights import mirrored, product, whole
+from latticeql.functions.weights import mirrored, whole
 from latticeql.operators.grid import AXES
+from latticeql.operators.lines import prolongate_along
 
 
 def restrict(df: DataFrame, value: str, centring: str = "ccc") -> DataFrame:
@@ -26,18 +25,12 @@ def prolongate(df: DataFrame, value: Column, left: dict, right: dict, name: str
 
 
 def prolongate_axes(df: DataFrame, value: Column, rows: list, name: str = "value") -> DataFrame:
-    """As prolongate, with a pair of rows for each axis: mixed centrings."""
-    moves, sizes, dens = [], {}, {}
-    for off in cartesian((0, 1), repeat=3):
-        weights, den = whole(product(*[pair[o] for pair, o in zip(rows, off, strict=True)]))
-        sizes[off], dens[off] = len(weights), den
-        moves += [F.struct(*[F.lit(2 * -d + o).alias(f"d{a}") for a, d, o in zip(AXES, k, off, strict=True)], F.lit(float(w)).alias("w")) for k, w in weights.items()]
-    sent = df.select(*AXES, value.alias("v_")).withColumn("m", F.explode(F.array(*moves)))
-    sent = sent.select(*[(2 * F.col(a) + F.col(f"m.d{a}")).cast("int").alias(a) for a in AXES], (F.col("m.w") * F.col("v_")).alias("p_"))
-    out = sent.groupBy(*AXES).agg(F.sum("p_").alias("s_"), F.count("*").alias("n_"))
-    child = sum((F.pmod(F.col(a), F.lit(2)) * f for a, f in zip(AXES, (4, 2, 1), strict=True)), F.lit(0))
-    pick = lambda by: F.element_at(F.array(*[F.lit(float(by[o])) for o in cartesian((0, 1), repeat=3)]), (child + 1).cast("int"))
-    return out.filter(F.col("n_") == pick(sizes)).select(*AXES, (F.col("s_") / pick(dens)).alias(name))
+    """As prolongate, with a pair of rows for each axis: mixed centrings. The axes are done in turn, so that a point is sent as
+    often as the rows' lengths add up to, not multiply to."""
+    out = df.select(*AXES, value.alias(name))
+    for axis, (left, right) in zip(AXES, rows, strict=True):
+        out = prolongate_along(out, name, axis, left, right)
+    return out
 
 
 def children(row: dict) -> tuple[dict, dict]:

@@ -1,5 +1,7 @@
 """What a run leaves beside its grids, and operators between boxes against what they must keep."""
 
+from itertools import product as cartesian
+
 from pyspark.sql import functions as F
 
 from latticeql.functions import weights as W
@@ -40,13 +42,15 @@ def test_particles_and_timers(spark, tmp_path):
 
 
 def test_lines_in_turn_are_the_tensor_product(spark):
-    df = grid.points(spark, 8).withColumn("u", (F.col("i") * F.col("i") + 3 * F.col("j") - F.col("k") * F.col("j")).cast("double"))
-    rows = resample.children(W.average_left(2))
-    whole = {(r.i, r.j, r.k): r.value for r in resample.prolongate(df, F.col("u"), *rows).collect()}
-    turns = df
-    for a in grid.AXES:
-        turns = lines.prolongate_along(turns, "u", a, *rows)
-    assert {(r.i, r.j, r.k): r.u for r in turns.collect()} == whole
+    n, u = 4, lambda i, j, k: float(i * i + 3 * j - k * j)
+    df = grid.points(spark, n).withColumn("u", (F.col("i") * F.col("i") + 3 * F.col("j") - F.col("k") * F.col("j")).cast("double"))
+    rows, wanted = resample.children(W.average_left(2)), {}
+    for point in cartesian(range(2 * n), repeat=3):
+        weights = W.product(*[rows[x % 2] for x in point])
+        places = [[x // 2 + o for x, o in zip(point, offsets, strict=True)] for offsets in weights]
+        if all(0 <= x < n for place in places for x in place):
+            wanted[point] = float(sum(w * int(u(*place)) for w, place in zip(weights.values(), places, strict=True)))
+    assert {(r.i, r.j, r.k): r.value for r in resample.prolongate(df, F.col("u"), *rows).collect()} == wanted
 
 
 def test_smooth_lines_keep_their_averages(spark):
