@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeql.llm import bpe
-from latticeql.llm.common import bound_batches, text_of, written
+from latticeql.llm.common import bound_batches, shuffle_partitions, text_of, written
 from latticeql.llm.simhash import components
 
 #: Words of a shingle; hundredths of similarity that link; bands and minima of a band; seed of the hashes.
@@ -81,7 +81,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     held = written(texts.join(nodes, "h", "left_semi").dropDuplicates(["h"]), "compared-texts")
     one, two = (held.select(F.col("h").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    spread = pairs.join(one, "a").join(two, "b")
+    # Texts are long and pairs few: sizes in bytes would put the comparisons into a task or two.
+    spread = pairs.join(one, "a").join(two, "b").repartition(shuffle_partitions(pairs.sparkSession))
     return spread.filter(F.arrow_udf(_alike, "boolean")("text_a", "text_b")).select("a", "b")
 
 
