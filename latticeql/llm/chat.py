@@ -2,7 +2,7 @@
 
 A log has events: conversation, sequence number, message, kind, role, text. "message" and "edit" set a message's text,
 "delta" appends to it, and "regenerate" sets it and takes back every message that began between the message's own
-beginning and the event. Events are partitioned by conversation and sorted by sequence once; running maxima find each
+beginning and the event. A message's role is that of the last of its events that has one, so events without a role keep it. Events are partitioned by conversation and sorted by sequence once; running maxima find each
 message's last setting event, what follows it is appended in order, and messages taken back are left out. The messages
 left, in the order of their beginnings, are rendered.
 
@@ -10,7 +10,7 @@ The template writes a turn as <turn>ROLE, a line feed, the text and </turn> with
 "<" becomes \\l (in roles a line feed becomes \\n as well), so a "<" in the output is always the template's own and the
 texts can be had back exactly. The loss mask is a list of spans, in UTF-8 bytes of the output, over assistant texts.
 
-Cases: null texts are empty; null roles are the empty role; null conversations are one conversation; null sequence numbers come
+Cases: null texts are empty; messages without any role have the empty role; null conversations are one conversation; null sequence numbers come
 first; events of equal sequence number are ordered by message, kind, role and text; repeated messages stay repeated when
 each row is a message; an empty table gives an empty table. Only the named columns are read, so others can have any name.
 """
@@ -44,21 +44,22 @@ def events_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", r
 def reconstruct(events: DataFrame) -> DataFrame:
     """conv, at (a message's number in its conversation, from 1), role, text: the final messages of a log with the columns
     conv, seq, message, kind, role, text."""
-    e = events.select("conv", F.col("seq").cast("long").alias("seq"), "message", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    e = events.select("conv", F.col("seq").cast("long").alias("seq"), "message", "kind", F.col("role").cast("string").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv").orderBy("seq", "message", "kind", "role", "text")
     e = e.withColumn("n", F.row_number().over(order))
     own = Window.partitionBy("conv", "message")
     sets = F.col("kind").isin("message", "edit", "regenerate")
     e = e.withColumn("began", F.min("n").over(own)).withColumn("set_at", F.max(F.when(sets, F.col("n"))).over(own))
+    e = e.withColumn("role", F.max_by("role", F.when(F.col("role").isNotNull(), F.col("n"))).over(own))
     # A message is taken back by a regeneration, later than its beginning, of a message that began earlier.
     later = Window.partitionBy("conv").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
     e = e.withColumn("back_to", F.min(F.when(F.col("kind") == "regenerate", F.col("began"))).over(later))
     e = e.withColumn("gone", F.max(F.when((F.col("n") == F.col("began")) & (F.col("back_to") < F.col("began")), 1)).over(own))
     left = e.filter(F.col("gone").isNull() & (F.col("n") >= F.coalesce("set_at", "began")))
-    parts = left.groupBy("conv", "message").agg(F.min("began").alias("began"), F.sort_array(F.collect_list(F.struct("n", "role", "text"))).alias("parts"))
+    parts = left.groupBy("conv", "message").agg(F.min("began").alias("began"), F.max("role").alias("role"), F.sort_array(F.collect_list(F.struct("n", "text"))).alias("parts"))
     text = F.concat_ws("", F.transform("parts", lambda p: p["text"]))
     number = F.row_number().over(Window.partitionBy("conv").orderBy("began")).cast("long")
-    return parts.select("conv", number.alias("at"), F.col("parts")[0]["role"].alias("role"), text.alias("text"))
+    return parts.select("conv", number.alias("at"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
 
 
 def render(messages: DataFrame, assistant: str = "assistant") -> DataFrame:

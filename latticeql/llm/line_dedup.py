@@ -1,14 +1,16 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line is parsed at fixed depth: its number of words, then its LEAD leading words, where a word with a digit is a variable
-field; that is the leaf. In a leaf the words that follow are cut into FIELDS consecutive fields. A line belongs to the template of
-all its words and, with FUZZY words or more, to those in which one field is a wildcard, so lines that differ only in
-one field of at most a fifth of their words share a template. A template that occurs in more than one document recurs:
+field; that is the leaf. Lines with fewer than LEAST words without a digit (rows of numbers) have no variable fields and
+are compared by all their words. In a leaf the words that follow are cut into FIELDS consecutive fields. A line belongs to
+the template of all its words and, with FUZZY words or more, to those in which one field is a wildcard, so lines that differ
+only in one field of at most a fifth of their words share a template. A template that occurs in more than one document recurs:
 its lines stay in the first document (the smallest id) and are dropped from all others.
 
-Only 64-bit hashes of templates, with document ids, are shuffled; first documents are found by partial minima, so a line that a
-third of all rows share is one row of each task. The recurring ones are joined back to their
-lines by a shuffle that the engine can split. (Unequal templates share a hash with a chance of 2^-64 a pair.)
+Texts are parsed once: a written table has each line's templates as hashes of 128 bits, with document ids, and both what
+recurs and whom it hits is found there. (Among 10^13 templates unequal ones share a hash with a chance of 10^-13.)
+First documents are found by partial minima, so a line that a third of all rows share is one row of each task. The recurring
+ones are joined back to their lines by a shuffle that the engine can split.
 
 Cases: null texts are empty; lines of fewer than LEAST words never go; texts from which nothing goes stay as they
 are, and the rest are joined by line feeds (empty if all lines went); rows that share an id are one document, each with
@@ -23,41 +25,53 @@ from pyspark.sql import functions as F
 
 from latticeql.llm.common import text_of, written
 
-#: Leading words of a leaf; fields behind them; words of a line that can go at all; and of one that can match with a wildcard.
+#: Leading words of a leaf; fields behind them; words of a line that can go at all, and without a digit of one with variable fields;
+#: words of a line that can match with a wildcard.
 LEAD, FIELDS, LEAST, FUZZY = 3, 5, 3, 8
 
 
-def parsed(line: Column) -> Column:
-    """The words of a line, words with a digit as <*>."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\s0-9]*+[0-9]\S*", "<*>")).otherwise(line)
-    return F.split(F.btrim(masked, F.lit(" \t\r\f\v")), r"\s+")
+def words_of(line: Column) -> Column:
+    return F.split(F.btrim(line, F.lit(" \t\r\f\v")), r"\s+")
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """lines with words instead of line, those with a digit as <*> if enough are without, and rigid: whether they aren't."""
+    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"[^\s0-9]*+[0-9]\S*", "<*>"))
+    rows = lines.withColumn("masked", masked).withColumn("words", words_of(F.coalesce("masked", "line")))
+    rigid = F.col("masked").isNotNull() & (F.size(F.array_remove("words", "<*>")) < LEAST)
+    rows = rows.withColumn("rigid", rigid)
+    return rows.withColumn("words", F.when(F.col("rigid"), words_of(F.col("line"))).otherwise(F.col("words"))).drop("masked", "line")
 
 
 def templates(keyed: DataFrame) -> DataFrame:
-    """id, h, no, k: the hashes of each line's templates, the line itself and with each field a wildcard. keyed: id, h, text.
-    Parts of a line are hashed once, in a projection of their own; templates are hashes of those."""
-    lines = keyed.select("id", "h", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("id", "h", "no", parsed(F.col("line")).alias("words"))
-    rest = F.greatest(F.size("words") - LEAD, F.lit(0))
+    """id, h, no, k, l: the hashes of each line's templates, the line itself and with each field a wildcard. keyed: id, h, text.
+    Parts of a line are hashed once, in a projection of their own; templates are hashes of those. k and l are hashes of the same
+    values by different seeds."""
+    lines = keyed.select("id", "h", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    lines = parsed(lines).withColumn("n", F.size("words")).filter(F.col("n") >= LEAST)
+    rest = F.greatest(F.col("n") - LEAD, F.lit(0))
+
+    def both(name: str, *values) -> list:
+        return [F.xxhash64(*values).alias(f"{name}k"), F.xxhash64(F.lit(2), *values).alias(f"{name}l")]
 
     def field(k: int) -> Column:
         first, end = F.floor(rest * k / FIELDS).cast("int"), F.floor(rest * (k + 1) / FIELDS).cast("int")
-        return F.xxhash64(F.slice("words", first + LEAD + 1, end - first))
+        return F.slice("words", first + LEAD + 1, end - first)
 
-    parts = lines.select("id", "h", "no", F.size("words").alias("n"), F.xxhash64(F.slice("words", 1, LEAD)).alias("lead"), *[field(k).alias(f"f{k}") for k in range(FIELDS)])
+    parts = lines.select("id", "h", "no", "n", "rigid", *both("lead", F.slice("words", 1, LEAD)), *[c for k in range(FIELDS) for c in both(f"f{k}", field(k))])
 
     def key(wild: int) -> Column:
-        return F.xxhash64("n", F.lit(wild), "lead", *[f"f{k}" for k in range(FIELDS) if k != wild])
+        return F.struct(*[F.xxhash64("n", F.lit(wild), f"lead{s}", *[f"f{k}{s}" for k in range(FIELDS) if k != wild]).alias(s) for s in "kl"])
 
-    n = F.col("n")
-    keys = F.when(n >= FUZZY, F.array(*map(key, range(-1, FIELDS)))).when(n >= LEAST, F.array(key(-1))).otherwise(F.array().cast("array<bigint>"))
-    return parts.select("id", "h", "no", F.explode(keys).alias("k"))
+    keys = F.when((F.col("n") >= FUZZY) & ~F.col("rigid"), F.array(*map(key, range(-1, FIELDS)))).otherwise(F.array(key(-1)))
+    return parts.select("id", "h", "no", F.explode(keys).alias("t")).select("id", "h", "no", "t.k", "t.l")
 
 
 def drops(keyed: DataFrame) -> DataFrame:
     """id, h, drop (numbers of lines, from 0, sorted) for documents that lose lines. keyed: id, h, text."""
-    rows = templates(keyed)
-    first = rows.groupBy("k").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("k", "first")
-    gone = rows.join(written(first, "recurring-templates"), "k").filter("id <> first").select("id", "h", "no")
+    rows = written(templates(keyed), "line-templates")
+    first = rows.groupBy("k", "l").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("k", "l", "first")
+    gone = rows.join(written(first, "recurring-templates"), ["k", "l"]).filter("id <> first").select("id", "h", "no")
     return gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("no")).alias("drop"))
 
 

@@ -125,8 +125,10 @@ select doc_id, keep_id, group_size::bigint as group_size, doc_id = keep_id as ke
 OP3 = r"""
 with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 x as (select doc_id, unnest(range(len(ls))) as no, unnest(ls) as line from l),
-w as (select doc_id, no, list_filter(string_split_regex(regexp_replace(line, '\S*\d\S*', '<*>', 'g'), '\s+'), lambda t: t <> '') as w from x),
-k as (select doc_id, no, w, len(w) as n, case when len(w) >= 8 then range(-1, 5) else [-1] end as wilds from w where len(w) >= 3),
+v as (select doc_id, no, regexp_matches(line, '\d') as digits, list_filter(string_split_regex(line, '\s+'), lambda t: t <> '') as r,
+  list_filter(string_split_regex(regexp_replace(line, '\S*\d\S*', '<*>', 'g'), '\s+'), lambda t: t <> '') as m from x),
+w as (select doc_id, no, digits and len(list_filter(m, lambda t: t <> '<*>')) < 3 as rigid, case when digits and len(list_filter(m, lambda t: t <> '<*>')) < 3 then r else m end as w from v),
+k as (select doc_id, no, w, len(w) as n, case when len(w) >= 8 and not rigid then range(-1, 5) else [-1] end as wilds from w where len(w) >= 3),
 e as (select doc_id, no, w, n, unnest(wilds) as wild from k),
 t as (select doc_id, no, n, wild, list_transform(w, lambda v, i: case when i > 3 and wild >= 0 and i - 4 >= floor((n - 3) * wild / 5.0) and i - 4 < floor((n - 3) * (wild + 1) / 5.0) then chr(1) else v end) as key from e),
 f as (select n, wild, key, min(doc_id) as first, max(doc_id) as last from t group by all),

@@ -10,7 +10,7 @@ Layout, little endian: magic "RVB1", n_docs u32, n_ids u32 (entries of the rank
 document ids i64 each; a byte each, 1 where the id is null; tokens of each document u32; control bytes; data bytes.
 
 Cases: null text is the empty text and so a document of just the end id; null ids come first; repeated rows stay
-repeated documents, in the order of their texts; an empty table writes no file and reads as an empty table. Only the
+repeated documents; documents of one id come in the order of a hash of their texts, so that files can share a frequent id; an empty table writes no file and reads as an empty table. Only the
 named columns are read, so other columns can have any name.
 """
 
@@ -152,7 +152,9 @@ def write(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col
     bound_batches(spark)
     at = make_dir(fresh_dir(spark, "token-files"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), "doc").sortWithinPartitions("doc", "text")
+    # Ranges split the rows of one id by their texts, and equal rows by the place they were read at.
+    rows = rows.select("doc", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange(shuffle_partitions(spark), "doc", "hash", "place").sortWithinPartitions("doc", "hash", "place").select("doc", "text")
     files = written(rows.mapInArrow(_write(at, path, end, file_tokens), MANIFEST), "token-manifest")
     # Two steps, so that no task sorts all files: sums of blocks of partitions, then sums within a block.
     block = F.floor(F.col("part") / 1000)
