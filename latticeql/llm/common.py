@@ -4,6 +4,7 @@ tables, bounded Arrow batches, and small helpers. Nothing here depends on the si
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -65,8 +66,8 @@ def text_of(column: str = "text") -> Column:
 
 
 def lower_ascii(column: Column) -> Column:
-    """A-Z to a-z and nothing else."""
-    return F.translate(column, A_Z, a_z)
+    """A-Z to a-z and nothing else. A text of ASCII alone takes the faster function, which does the same to it."""
+    return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, A_Z, a_z))
 
 
 def store(uri: str):
@@ -76,5 +77,38 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri) if not uri.startswith("file:") else uri)
 
 
+@contextlib.contextmanager
+def opened(uri: str):
+    """A file to write, under another name until it is whole, so that a lost or repeated task leaves no partial one."""
+    from pyspark import TaskContext
+
+    fs, path = store(uri)
+    temp = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(temp) as f:
+        yield f
+    fs.move(temp, path)
+
+
+def make_dir(uri: str) -> str:
+    fs, path = store(uri)
+    fs.create_dir(path, recursive=True)
+    return uri
+
+
+#: Groups of more than this part of all rows are joined by a broadcast; there can't be more of them than this number.
+HOT = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list, size: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups, both written tables; groups: a row for each combination of keys, size: how many rows have it. Groups
+    of more than a HOT-th of all rows, at most HOT of them, are broadcast, so no task of the shuffle gets more of one key."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) * HOT > total
+    hot = F.broadcast(groups.filter(large))
+    rest = rows.join(F.broadcast(groups.filter(large).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(groups.filter(~large), keys, how), allowMissingColumns=False)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,7 +10,7 @@ its lines stay in the first document (the smallest id) and are dropped from all
 Texts are parsed once: a written table has each line's templates as hashes of 128 bits, with document ids, and both what
 recurs and whom it hits is found there. (Among 10^13 templates unequal ones share a hash with a chance of 10^-13.)
 First documents are found by partial minima, so a line that a third of all rows share is one row of each task. The recurring
-ones are joined back to their lines by a shuffle that the engine can split.
+ones are joined back to their lines: those with more than a thousandth of all rows by a broadcast, the rest by a shuffle.
 
 Cases: null texts are empty; lines of fewer than LEAST words never go; texts from which nothing goes stay as they
 are, and the rest are joined by line feeds (empty if all lines went); rows that share an id are one document, each with
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticeql.llm.common import text_of, written
+from latticeql.llm.common import join_groups, text_of, written
 
 #: Leading words of a leaf; fields behind them; words of a line that can go at all, and without a digit of one with variable fields;
 #: words of a line that can match with a wildcard.
@@ -70,8 +70,8 @@ def templates(keyed: DataFrame) -> DataFrame:
 def drops(keyed: DataFrame) -> DataFrame:
     """id, h, drop (numbers of lines, from 0, sorted) for documents that lose lines. keyed: id, h, text."""
     rows = written(templates(keyed), "line-templates")
-    first = rows.groupBy("k", "l").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("k", "l", "first")
-    gone = rows.join(written(first, "recurring-templates"), ["k", "l"]).filter("id <> first").select("id", "h", "no")
+    first = rows.groupBy("k", "l").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("size")).filter("first <> last").select("k", "l", "first", "size")
+    gone = join_groups(rows, written(first, "recurring-templates"), ["k", "l"], "size").filter("id <> first").select("id", "h", "no")
     return gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("no")).alias("drop"))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeql.llm import bpe
-from latticeql.llm.common import bound_batches, shuffle_partitions, text_of, written
+from latticeql.llm.common import bound_batches, join_groups, shuffle_partitions, text_of, written
 
 WORDS, SEED, THRESHOLD = 4, 42, 4
 #: Rows of an anchor that are compared as one block.
@@ -277,9 +277,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id_col, fp (signed long), component (the smallest fingerprint reachable), component_id (the smallest id there), and
     further columns of docs (also: by name): a row for each row of docs."""
     prints = fingerprints(docs, id_col, text_col, words, also)
-    reps = written(prints.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
+    reps = written(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("size_")), "representatives")
     found = components(links(reps.select("fp", F.col("fp").alias("rep")), block=block))
-    labelled = reps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    labelled = reps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", "size_", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = labelled.drop("rep").join(least, "component")
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component", "component_id", *(also or {}))
+    classes = written(labelled.drop("rep").join(least, "component"), "fingerprint-classes")
+    return join_groups(prints, classes, ["fp"], "size_").select(F.col("id").alias(id_col), "fp", "component", "component_id", *(also or {}))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticeql.llm import bpe
-from latticeql.llm.common import bound_batches, fresh_dir, shuffle_partitions, store, text_of, written
+from latticeql.llm.common import bound_batches, fresh_dir, make_dir, shuffle_partitions, store, text_of, written
 
 MAGIC = b"RVB1"
 HEAD = struct.Struct("<4sIIQ")
@@ -105,12 +105,6 @@ def get(uri: str) -> bytes:
         return f.read()
 
 
-def make_dir(uri: str) -> str:
-    fs, path = store(uri)
-    fs.create_dir(path, recursive=True)
-    return uri
-
-
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long"
 
 

@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeql.llm.common import bound_batches, fresh_dir, shuffle_partitions, store, text_of, written
-from latticeql.llm.token_files import make_dir
+from latticeql.llm.common import bound_batches, fresh_dir, join_groups, make_dir, shuffle_partitions, store, text_of, written
 
 #: Bytes that a payload needs to be replaced by a reference.
 LEAST = 1000
@@ -103,11 +102,14 @@ def _write(to: str):
                 out.write(content)
                 rows.append({"file": file, "at": at, "size": len(content), "page_id": page_id, "digest": hashlib.sha1(payload).hexdigest(), "payload_bytes": len(payload)})
                 at += len(content)
+                if len(rows) == ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, HEADER_SCHEMA)
+                    rows = []
         if out:
             out.close()
             fs.move(temp, path)
-        for a in range(0, len(rows), 10 * ROWS):
-            yield pa.RecordBatch.from_pylist(rows[a : a + 10 * ROWS], HEADER_SCHEMA)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, HEADER_SCHEMA)
 
     return write
 
@@ -123,8 +125,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 def resolve(headers: DataFrame, least: int = LEAST) -> DataFrame:
     """The header rows with original: page_id, file and at of the record that a record repeats, null for originals."""
     place = F.struct("page_id", "file", "at")
-    best = headers.filter(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max(place).alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    large = headers.filter(F.col("payload_bytes") >= least).join(best, "digest", "left")
+    best = headers.filter(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max(place).alias("original"), F.count("*").alias("n")).filter("n > 1")
+    large = join_groups(headers.filter(F.col("payload_bytes") >= least), written(best, "repeated-payloads"), ["digest"], "n", "left").drop("n")
     large = large.withColumn("original", F.when((F.col("original.file") == F.col("file")) & (F.col("original.at") == F.col("at")), F.lit(None)).otherwise(F.col("original")))
     small = headers.filter(~(F.col("payload_bytes") >= least)).withColumn("original", F.lit(None).cast(best.schema["original"].dataType))
     return large.unionByName(small)
