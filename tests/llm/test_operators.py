@@ -155,14 +155,14 @@ def test_chat_folds_deltas_edits_and_regenerations(spark):
     assert {r.conv: ([tuple(x) for x in r.t], r.loss) for r in out} == {1: ([("user", "hello"), ("assistant", "newer")], "newer"), 2: ([("", "")], "")}
 
 
-@pytest.mark.parametrize("literal,broadcast", [(20_000, 2_000_000), (0, 0)])
-def test_decontamination_against_brute_force(spark, monkeypatch, literal, broadcast):
+@pytest.mark.parametrize("broadcast,short", [(2_000_000, True), (2_000_000, False), (0, True), (0, False)])
+def test_decontamination_against_brute_force(spark, monkeypatch, broadcast, short):
     import re
 
-    monkeypatch.setattr(decontam, "LITERAL_WORDS", literal)
     monkeypatch.setattr(decontam, "BROADCAST_WORDS", broadcast)
     rng = random.Random(4)
     items = [(1, " ".join(rng.choices(WORDS, k=20))), (2, "one two"), (3, None), (4, "..."), (1, "One, TWO"), (None, "solo Été")]
+    items = [*items, (7, "solo")] if short else items
     texts = [None, "", "..", items[0][1].upper(), "x " + items[0][1][:60], "a one-two b" + " w" * 50, "Solo Été", "solo été"] + [" ".join(rng.choices(WORDS, k=40)) + " " + items[0][1] for _ in range(4)]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     wanted = []
