@@ -1,9 +1,10 @@
-"""Near-duplicate groups by the Jaccard similarity of word shingles: MinHash bands for candidates, exact sets for the decision.
+"""The verified form of SimHash groups: near-duplicate groups by the exact Jaccard similarity of word shingles.
 
 A text's shingles are its runs of WORDS words, in lower case; a text of fewer words is one shingle. Two texts are linked if their
-sets have a Jaccard similarity of at least SHARE, and a group is what links connect. Candidates share one of BANDS bands of ROWS
-minima: a pair at similarity 0.8 shares none with a chance of (1 - 0.8^4)^32 = 5e-8, a pair at 0.9 of 4e-15. What is linked is
-decided by the sets (of 64-bit hashes) alone.
+sets have a Jaccard similarity of at least SHARE, and a group is what links connect. Candidates are texts whose fingerprints the
+SimHash operator links, and, as texts at 0.8 differ in some 10 of 64 bits and no covering code reaches so far, those that share one of
+BANDS bands of ROWS minima of the same hashes: a pair at similarity 0.8 shares none with a chance of (1 - 0.8^4)^32 = 5e-8, a pair at
+0.9 of 4e-15. What is linked is decided by the sets (of 64-bit hashes) alone.
 
 Of a band's texts each is first compared with the one that has the smallest hash; what that connects is one group, and then all pairs
 that are still in different groups are compared. So near copies of one text take comparisons in proportion to their number, and no
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from latticeql.llm import bpe
 from latticeql.llm.common import bound_batches, shuffle_partitions, text_of, written
-from latticeql.llm.simhash import components
+from latticeql.llm.simhash import bits, components, majority
+from latticeql.llm.simhash import links as fingerprint_links
 
 #: Words of a shingle; hundredths of similarity that link; bands and minima of a band; seed of the hashes.
 WORDS, SHARE, BANDS, ROWS, SEED = 5, 80, 32, 4, 42
@@ -50,15 +52,17 @@ def shingles(text: bytes, words: int = WORDS):
         yield np.fromiter((hash_(joined[i:j], SEED) for i, j in zip(starts[a:z].tolist(), last[a:z].tolist(), strict=True)), np.uint64, z - a)
 
 
-def bands(text: bytes) -> np.ndarray:
-    """The BANDS keys of a text: signed hashes of a band's number and its minima."""
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+def sketch(text: bytes) -> tuple[np.ndarray, int]:
+    """The BANDS keys of a text, signed hashes of a band's number and its minima, and the SimHash of the same shingles."""
+    least, counts, n = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32), np.zeros(64, np.int64), 0
     for hashes in shingles(text):
         short = (hashes >> np.uint64(32)).astype(np.uint32)
         for a in range(0, len(short), BLOCK):
             np.minimum(least, (short[a : a + BLOCK, None] * FACTORS).min(axis=0), out=least)
+        counts += bits(hashes)
+        n += len(hashes)
     rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64), majority(counts, n)
 
 
 def alike(one: bytes, two: bytes) -> bool:
@@ -86,12 +90,23 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return spread.filter(F.arrow_udf(_alike, "boolean")("text_a", "text_b")).select("a", "b")
 
 
+def covered(sketches: DataFrame) -> DataFrame:
+    """a, b: pairs of texts that connect what their fingerprints do. sketches: h, fp, a row for each text."""
+    reps = written(sketches.groupBy("fp").agg(F.min("h").alias("rep")), "representatives")
+    near = fingerprint_links(reps.select("fp", F.col("rep")))
+    equal = sketches.join(reps, "fp").filter("h <> rep").select(F.col("rep").alias("a"), F.col("h").alias("b"))
+    return near.select("a", "b").unionByName(equal)
+
+
 def links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: edges that connect the same texts as all links do. sketches: h, bands; texts: h, text."""
-    rows = sketches.groupBy("h").agg(F.first("bands").alias("bands")).select("h", F.explode("bands").alias("band"))
+    """a, b: edges that connect the same texts as all links do. sketches: h, bands, fp; texts: h, text."""
+    sketches = written(sketches.groupBy("h").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp")), "text-sketches")
+    rows = sketches.select("h", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("band", "least")
     held = written(rows.join(shared, "band"), "shared-bands")
-    stars = written(held.filter("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b")).distinct(), "stars")
+    stars = held.filter("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b"))
+    near = covered(sketches.select("h", "fp")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    stars = written(stars.unionByName(near).distinct(), "stars")
     edges = written(verified(stars, texts), "star-links")
     found = components(edges)
     grouped = written(held.join(found, F.col("h") == F.col("node"), "left").select("band", "h", F.coalesce("component", "h").alias("component")), "grouped-bands")
@@ -105,12 +120,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of docs."""
 
     def keys(text: pa.Array) -> pa.Array:
-        return pa.array([bands(x) for x in bpe.texts(text)], pa.list_(pa.int64()))
+        both = [sketch(x) for x in bpe.texts(text)]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in both], pa.list_(pa.int64())), pa.array(np.array([x for _, x in both], np.uint64).view(np.int64))], ["bands", "fp"])
 
     bound_batches(docs.sparkSession)
     text, more = text_of(text_col), [c.alias(name) for name, c in (also or {}).items()]
     h = F.xxhash64(text).alias("h")
-    sketches = written(docs.select(F.col(id_col).alias("id"), h, F.arrow_udf(keys, "array<bigint>")(text).alias("bands"), *more), "sketches")
-    found = components(links(sketches.select("h", "bands"), docs.select(h, text.alias("text"))))
+    rows = docs.select(F.col(id_col).alias("id"), h, F.arrow_udf(keys, "bands array<bigint>, fp bigint")(text).alias("sketch"), *more)
+    sketches = written(rows.select("id", "h", "sketch.bands", "sketch.fp", *(also or {})), "sketches")
+    found = components(links(sketches.select("h", "bands", "fp"), docs.select(h, text.alias("text"))))
     joined = sketches.join(found, F.col("h") == F.col("node"), "left")
     return joined.select(F.col("id").alias(id_col), F.coalesce("component", "h").alias("component"), *(also or {}))

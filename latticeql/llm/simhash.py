@@ -41,6 +41,16 @@ CHUNK = 1 << 16
 PARTS, EXACT = ((0, 15, 8), (23, 15, 8)), (46, 18)
 
 
+def bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The number whose bits are set that more than half of n have."""
+    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     """The 64-bit SimHash of a text: a bit is 1 if it is set in more than half of the shingles' XXH64."""
     tokens = text.lower().split()
@@ -56,8 +66,8 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     for a in range(0, n, CHUNK):
         z = min(n, a + CHUNK)
         hashes = np.fromiter((hash_(joined[i:j], seed) for i, j in zip(starts[a:z].tolist(), ends[a + words - 1 : z + words - 1].tolist(), strict=True)), np.uint64, z - a)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+        counts += bits(hashes)
+    return majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, also: dict | None = None) -> DataFrame:
@@ -273,9 +283,14 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block: int = BLOCK, also: dict | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block: int = BLOCK, also: dict | None = None, verified: bool = False) -> DataFrame:
     """id_col, fp (signed long), component (the smallest fingerprint reachable), component_id (the smallest id there), and
-    further columns of docs (also: by name): a row for each row of docs."""
+    further columns of docs (also: by name): a row for each row of docs. With verified the links are those texts whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more, and the columns id_col, component and the further ones."""
+    if verified:
+        from latticeql.llm import minhash
+
+        return minhash.near_duplicates(docs, id_col, text_col, also)
     prints = fingerprints(docs, id_col, text_col, words, also)
     reps = written(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("size_")), "representatives")
     found = components(links(reps.select("fp", F.col("fp").alias("rep")), block=block))
