@@ -47,12 +47,12 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, random: bool = False) -> DataFrame:
     """The rows of df, computed once, as a table in the shared folder: lineage ends there and lost executors cost
-    nothing already done."""
+    nothing already done. random: mostly hashes, at which compression and dictionaries lose their time."""
     spark = session_of(df)
     at = fresh_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.options(**({"compression": "snappy", "parquet.enable.dictionary": "false"} if random else {"compression": "zstd"})).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

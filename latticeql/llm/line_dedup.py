@@ -44,9 +44,9 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def templates(keyed: DataFrame) -> DataFrame:
-    """id, h, no, k, l: the hashes of each line's templates, the line itself and with each field a wildcard. keyed: id, h, text.
-    Parts of a line are hashed once, in a projection of their own; templates are hashes of those. k and l are hashes of the same
-    values by different seeds."""
+    """id, h, no, keys: an array of the hashes (k, l) of each line's templates, the line itself and with each field a wildcard. keyed:
+    id, h, text. Parts of a line are hashed once, in a projection of their own; templates are hashes of those. k and l are hashes of
+    the same values by different seeds."""
     lines = keyed.select("id", "h", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     lines = parsed(lines).withColumn("n", F.size("words")).filter(F.col("n") >= LEAST)
     rest = F.greatest(F.col("n") - LEAD, F.lit(0))
@@ -64,21 +64,21 @@ def templates(keyed: DataFrame) -> DataFrame:
         return F.struct(*[F.xxhash64("n", F.lit(wild), f"lead{s}", *[f"f{k}{s}" for k in range(FIELDS) if k != wild]).alias(s) for s in "kl"])
 
     keys = F.when((F.col("n") >= FUZZY) & ~F.col("rigid"), F.array(*map(key, range(-1, FIELDS)))).otherwise(F.array(key(-1)))
-    return parts.select("id", "h", "no", F.explode(keys).alias("t")).select("id", "h", "no", "t.k", "t.l")
+    return parts.select("id", "h", "no", keys.alias("keys"))
 
 
 def drops(keyed: DataFrame) -> DataFrame:
     """id, h, drop (numbers of lines, from 0, sorted) for documents that lose lines. keyed: id, h, text."""
-    rows = written(templates(keyed), "line-templates")
+    lines = written(templates(keyed), "line-templates", random=True)
+    rows = lines.select("id", "h", "no", F.inline("keys"))
     first = rows.groupBy("k", "l").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("size")).filter("first <> last").select("k", "l", "first", "size")
     gone = join_groups(rows, written(first, "recurring-templates"), ["k", "l"], "size").filter("id <> first").select("id", "h", "no")
     return gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("no")).alias("drop"))
 
 
-def without(text: Column, drop: Column) -> Column:
-    """The text without some of its lines: what lies between dropped lines is sliced out."""
-    lines = F.split(text, "\n")
-    edges = F.concat(F.array(F.lit(-1)), drop, F.array(F.size(lines)))
+def without(lines: Column, edges: Column) -> Column:
+    """The text of the lines without some; edges: the places of those, sorted, between -1 and the number of lines. What lies between two
+    edges is sliced out."""
     kept = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.slice(lines, F.get(edges, i - 1) + 2, F.get(edges, i) - F.get(edges, i - 1) - 1))
     return F.array_join(F.flatten(kept), "\n")
 
@@ -89,9 +89,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), F.xxhash64(text).alias("h")]
     gone = drops(docs.select(*key, text.alias("text")))
     rows = docs.select(*key, text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"))
-    joined = rows.join(gone, ["id", "h"], "left")
-    new = F.when(F.col("drop").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("drop")))
-    n_lines, n_dropped = F.size(F.split("text", "\n")).cast("long"), F.coalesce(F.size("drop"), F.lit(0)).cast("long")
+    # Lines and edges are columns of their own: inside the slices they would be computed for each.
+    joined = rows.join(gone, ["id", "h"], "left").withColumn("lines", F.split("text", "\n"))
+    joined = joined.withColumn("edges", F.concat(F.array(F.lit(-1)), "drop", F.array(F.size("lines"))))
+    new = F.when(F.col("drop").isNull(), F.col("text")).otherwise(without(F.col("lines"), F.col("edges")))
+    n_lines, n_dropped = F.size("lines").cast("long"), F.coalesce(F.size("drop"), F.lit(0)).cast("long")
     own = {"n_lines", "n_dropped"}
     kept = [new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in own]
     return joined.select(*kept, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
