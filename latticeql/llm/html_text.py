@@ -189,6 +189,8 @@ class Parser:
             # An article ends a menu or an advert that was left open before it; a form around it is but a wrapper.
             while self.skips and not any(x.nesting for x in self.stack if x.skip):
                 self.pop()
+            if not self.skips:
+                self.end_line()
         if tag in VOID or CLOSED.search(attributes):
             return
         skip, nesting = _boilerplate(tag, attributes)
