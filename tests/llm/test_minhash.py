@@ -41,7 +41,9 @@ def planted(seed=6):
     return dict(enumerate(texts))
 
 
-def test_groups_are_those_of_brute_force_jaccard(spark):
+@pytest.mark.parametrize("block", [2, minhash.ROWS_A_BLOCK])
+def test_groups_are_those_of_brute_force_jaccard(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "ROWS_A_BLOCK", block)
     texts = planted()
     wanted = smallest(texts)
     out = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
