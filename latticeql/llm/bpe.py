@@ -30,8 +30,8 @@ from latticeql.llm.common import bound_batches, shuffle_partitions, text_of
 
 #: Characters of a leaf.
 PIECE = 32_768
-#: Pre-tokens that a worker remembers in each of two generations.
-MEMO = 400_000
+#: Pre-tokens that a worker remembers in each of two generations: of a job that only encodes, and of one that runs among others.
+MEMO, SMALL_MEMO = 400_000, 150_000
 
 # The one kind of tokenizer that the chunk-wise encoder is exact for (white space is dropped and splits).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -224,9 +224,9 @@ def _cut(text: str, p: int) -> bool:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = MEMO) -> Encoder:
     """One for each worker and vocabulary; it lives as long as the worker."""
-    return Encoder(path)
+    return Encoder(path, memo)
 
 
 def texts(array_: pa.Array):
@@ -241,9 +241,9 @@ def leaves_of(text: str, piece: int = PIECE) -> list:
 ENCODED = "ids binary, decoded string"
 
 
-def _short(path: str):
+def _short(path: str, memo: int):
     def encode(text: pa.Array) -> pa.Array:
-        e = encoder(path)
+        e = encoder(path, memo)
         ids = list(map(e.ids, texts(text)))
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(list(map(e.decode, ids)), pa.string())], ["ids", "decoded"])
 
@@ -260,9 +260,9 @@ def _cut_up(piece: int):
     return cut
 
 
-def _leaves(path: str):
+def _leaves(path: str, memo: int):
     def leaves(batches):
-        e = encoder(path)
+        e = encoder(path, memo)
         for b in batches:
             nodes = [pickle.dumps(tuple(x and tuple(x) if i != 1 else x for i, x in enumerate(e.leaf(t)))) for t in b.column("piece").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array(nodes, pa.binary())], ["digest", "n", "node"])
@@ -270,9 +270,9 @@ def _leaves(path: str):
     return leaves
 
 
-def _joined(path: str):
+def _joined(path: str, memo: int):
     def join(t: pa.Table) -> pa.Table:
-        e = encoder(path)
+        e = encoder(path, memo)
         rows = sorted(zip(t.column("n").to_pylist(), t.column("node").to_pylist(), strict=True))
         nodes = []
         for _, x in rows:
@@ -284,21 +284,22 @@ def _joined(path: str):
     return join
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE, memo: int = MEMO) -> DataFrame:
     """id_col, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded, a row for each row of docs.
 
-    path: a tokenizer file, readable on each executor. piece: the characters of a leaf; longer texts are cut up.
+    path: a tokenizer file, readable on each executor. piece: the characters of a leaf; longer texts are cut up. memo: pre-tokens
+    that a worker remembers in each of two generations, some 100 bytes each.
     Equal long texts are encoded once. A task holds one text's ids at a time when it joins leaves.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))
     is_long = F.char_length("text") > piece
-    short = rows.filter(~is_long).select(id_col, _short(path)("text").alias("e")).select(id_col, "e.ids", "e.decoded")
+    short = rows.filter(~is_long).select(id_col, _short(path, memo)("text").alias("e")).select(id_col, "e.ids", "e.decoded")
     digest = F.unhex(F.sha2("text", 256))
     long = rows.filter(is_long).withColumn("digest", digest)
     pieces = long.groupBy("digest").agg(F.first("text").alias("text")).mapInArrow(_cut_up(piece), "digest binary, n int, piece string")
-    nodes = pieces.repartition(shuffle_partitions(spark), "digest", "n").mapInArrow(_leaves(path), "digest binary, n int, node binary")
-    done = nodes.groupBy("digest").applyInArrow(_joined(path), "digest binary, ids binary, decoded string")
+    nodes = pieces.repartition(shuffle_partitions(spark), "digest", "n").mapInArrow(_leaves(path, memo), "digest binary, n int, node binary")
+    done = nodes.groupBy("digest").applyInArrow(_joined(path, memo), "digest binary, ids binary, decoded string")
     both = short.unionByName(long.select(id_col, "digest").join(done, "digest").select(id_col, "ids", "decoded"))
     return both.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
