@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeql.llm import bpe
-from latticeql.llm.common import bound_batches, shuffle_partitions, text_of, written
+from latticeql.llm.common import bound_batches, join_groups, shuffle_partitions, text_of, written
 from latticeql.llm.simhash import bits, components, majority
 from latticeql.llm.simhash import links as fingerprint_links
 
@@ -86,10 +86,10 @@ def _alike(one: pa.Array, two: pa.Array) -> pa.Array:
     return pa.array([alike(a, b) for a, b in zip(bpe.texts(one), bpe.texts(two), strict=True)], pa.bool_())
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs a, b whose texts are alike. texts: h, text."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    held = written(texts.join(nodes, "h", "left_semi").dropDuplicates(["h"]), "compared-texts")
+def verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of the pairs a, b whose texts are alike. texts: h, text; sketches: h, copies."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(sketches.select("h", "copies"), "h")
+    held = written(join_groups(texts, written(nodes, "compared"), ["h"], "copies").dropDuplicates(["h"]).select("h", "text"), "compared-texts")
     one, two = (held.select(F.col("h").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     # Texts are long and pairs few: sizes in bytes would put the comparisons into a task or two.
     spread = pairs.join(one, "a").join(two, "b").repartition(shuffle_partitions(pairs.sparkSession))
@@ -197,20 +197,20 @@ def apart(grouped: DataFrame, block: int) -> DataFrame:
     return few.mapInArrow(_small, "a long, b long").unionByName(many.groupBy("band", "x", "y").applyInArrow(_large, "a long, b long"))
 
 def links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: edges that connect the same texts as all links do. sketches: h, bands, fp, minima; texts: h, text."""
+    """a, b: edges that connect the same texts as all links do. sketches: h, bands, fp, minima, copies, a row for each text; texts: h,
+    text."""
     bound_batches(sketches.sparkSession)
-    sketches = written(sketches.dropDuplicates(["h"]), "text-sketches")
     rows = sketches.select("h", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("band", "least")
     held = written(rows.join(shared, "band"), "shared-bands")
     stars = held.filter("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b"))
     near = covered(sketches.select("h", "fp")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     stars = written(agreeing(stars.unionByName(near).distinct(), sketches), "stars")
-    edges = written(verified(stars, texts), "star-links")
+    edges = written(verified(stars, texts, sketches), "star-links")
     found = components(edges)
     grouped = held.select("band", "h").join(found, F.col("h") == F.col("node"), "left").select("band", "h", F.coalesce("component", "h").alias("component"))
     pairs = written(apart(grouped.join(sketches.select("h", "minima", "bands"), "h"), ROWS_A_BLOCK).join(stars, ["a", "b"], "left_anti"), "pairs-apart")
-    return edges.unionByName(verified(pairs, texts))
+    return edges.unionByName(verified(pairs, texts, sketches))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: dict | None = None) -> DataFrame:
@@ -227,6 +227,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     h = F.xxhash64(text).alias("h")
     rows = docs.select(F.col(id_col).alias("id"), h, F.arrow_udf(keys, "bands array<bigint>, fp bigint, minima binary")(text).alias("sketch"), *more)
     sketches = written(rows.select("id", "h", "sketch.bands", "sketch.fp", "sketch.minima", *(also or {})), "sketches")
-    found = components(links(sketches.select("h", "bands", "fp", "minima"), docs.select(h, text.alias("text"))))
-    joined = sketches.join(found, F.col("h") == F.col("node"), "left")
+    each = sketches.groupBy("h").agg(*[F.first(c).alias(c) for c in ("bands", "fp", "minima")], F.count("*").alias("copies"))
+    each = written(each, "text-sketches")
+    found = components(links(each, docs.select(h, text.alias("text")))).withColumnRenamed("node", "h")
+    classes = written(found.join(each.select("h", "copies"), "h"), "text-classes")
+    joined = join_groups(sketches, classes, ["h"], "copies", "left")
     return joined.select(F.col("id").alias(id_col), F.coalesce("component", "h").alias("component"), *(also or {}))
