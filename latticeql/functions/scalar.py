@@ -22,8 +22,14 @@ def min1(a: Column, b: Column) -> Column:
     return propagate(a, b, F.least(a, b))
 
 
+def bitsign(x: Column) -> Column:
+    """1 if the sign bit is set, that of -0.0 too, else 0. A zero's sign shows in its text alone: comparisons don't tell it."""
+    x = x.cast("double")
+    return F.when(x < 0, 1).when((x == 0) & x.cast("string").startswith("-"), 1).otherwise(0)
+
+
 def flipsign(x: Column, y: Column) -> Column:
-    return F.when(y < 0, -x).otherwise(x)
+    return F.when(bitsign(y) == 1, -x).otherwise(x)
 
 
 def pown(x: Column, n: int) -> Column:
@@ -42,28 +48,39 @@ def linterp(i0: Column, x0: Column, i1: Column, x1: Column, i: Column) -> Column
     return x0 + (x1 - x0) * (i - i0) / (i1 - i0)
 
 
+def _quotient(x: Column, y: Column) -> tuple:
+    """(quotient towards zero, remainder, divisor, whether the quotient has a rest) of whole numbers; null for a divisor of 0."""
+    x, y = x.cast("long"), F.nullif(y.cast("long"), F.lit(0).cast("long"))
+    rest = x % y
+    return F.call_function("div", x, y), rest, y, rest != 0
+
+
 def div_floor(x: Column, y: Column) -> Column:
-    return F.floor(x / y).cast("long")
+    q, r, y, some = _quotient(x, y)
+    return F.when(some & ((r < 0) != (y < 0)), q - 1).otherwise(q)
 
 
 def mod_floor(x: Column, y: Column) -> Column:
-    return (x - y * F.floor(x / y)).cast("long")
+    _, r, y, some = _quotient(x, y)
+    return F.when(some & ((r < 0) != (y < 0)), r + y).otherwise(r)
 
 
 def div_ceil(x: Column, y: Column) -> Column:
-    return F.ceil(x / y).cast("long")
+    q, r, y, some = _quotient(x, y)
+    return F.when(some & ((r < 0) == (y < 0)), q + 1).otherwise(q)
 
 
 def mod_ceil(x: Column, y: Column) -> Column:
-    return (x - y * F.ceil(x / y)).cast("long")
+    _, r, y, some = _quotient(x, y)
+    return F.when(some & ((r < 0) == (y < 0)), r - y).otherwise(r)
 
 
 def align_floor(x: Column, y: Column) -> Column:
-    return (y * F.floor(x / y)).cast("long")
+    return x.cast("long") - mod_floor(x, y)
 
 
 def align_ceil(x: Column, y: Column) -> Column:
-    return (y * F.ceil(x / y)).cast("long")
+    return x.cast("long") - mod_ceil(x, y)
 
 
 # -- vectors and matrices: Python lists of columns ---------------------------------------------------------------------
@@ -140,9 +157,9 @@ def gcd(a: Column, b: Column, rounds: int = 92) -> Column:
 
 
 def r_normal(num: Column, den: Column) -> tuple:
-    g = F.greatest(gcd(num, den), F.lit(1))
+    g = F.greatest(gcd(num, den), F.lit(1).cast("long"))
     s = F.when(den < 0, -1).otherwise(1)
-    return (s * num / g).cast("long"), (s * den / g).cast("long")
+    return s * F.call_function("div", num.cast("long"), g), s * F.call_function("div", den.cast("long"), g)
 
 
 def bisect(f, low: Column, high: Column, steps: int) -> Column:
@@ -277,9 +294,63 @@ def r_div(a: tuple, b: tuple) -> tuple:
     return r_normal(a[0] * b[1], a[1] * b[0])
 
 
+def _crossed(a: tuple, b: tuple) -> tuple:
+    """Products that compare as the numbers do, for positive denominators, in 38 digits: two longs fit."""
+    wide = [[x.cast("long").cast("decimal(19,0)") for x in p] for p in (a, b)]
+    return wide[0][0] * wide[1][1], wide[1][0] * wide[0][1]
+
+
 def r_less(a: tuple, b: tuple) -> Column:
     """For positive denominators."""
-    return a[0] * b[1] < b[0] * a[1]
+    x, y = _crossed(a, b)
+    return x < y
+
+
+def r_equal(a: tuple, b: tuple) -> Column:
+    x, y = _crossed(a, b)
+    return x == y
+
+
+def r_abs(a: tuple) -> tuple:
+    return F.abs(a[0]), F.abs(a[1])
+
+
+def r_max(a: tuple, b: tuple) -> tuple:
+    less = r_less(a, b)
+    return F.when(less, b[0]).otherwise(a[0]), F.when(less, b[1]).otherwise(a[1])
+
+
+def r_min(a: tuple, b: tuple) -> tuple:
+    less = r_less(b, a)
+    return F.when(less, b[0]).otherwise(a[0]), F.when(less, b[1]).otherwise(a[1])
+
+
+def r_pow(a: tuple, n: int) -> tuple:
+    """A power by products of whole numbers; the inverse's for a negative exponent."""
+    num, den = (a[1], a[0]) if n < 0 else a
+    x, y = F.lit(1).cast("long"), F.lit(1).cast("long")
+    for _ in range(abs(n)):
+        x, y = x * num, y * den
+    return r_normal(x, y)
+
+
+def c_norm(a: tuple) -> Column:
+    return a[0] * a[0] + a[1] * a[1]
+
+
+def c_cbrt(a: tuple) -> tuple:
+    """The principal cube root."""
+    r, t = F.cbrt(F.sqrt(c_norm(a))), F.atan2(a[1], a[0]) / F.lit(3.0)
+    return r * F.cos(t), r * F.sin(t)
+
+
+def d_cbrt(a: tuple) -> tuple:
+    r = F.cbrt(a[0])
+    return r, a[1] / F.nullif(F.lit(3.0) * r * r, F.lit(0.0))
+
+
+def d_max(a: tuple, b: tuple) -> tuple:
+    return F.when(a[0] >= b[0], a[0]).otherwise(b[0]), F.when(a[0] >= b[0], a[1]).otherwise(b[1])
 
 
 def sum_symm(n: int, term) -> Column:
@@ -288,7 +359,7 @@ def sum_symm(n: int, term) -> Column:
 
 
 def checked(a: Column, b: Column) -> dict:
-    """Sum, difference, product and negative of whole numbers; null where they overflow. Operands are bound first: the optimizer
+    """Sum, difference, product, quotient, remainder and negative of whole numbers; null where they overflow. Operands are bound first: the optimizer
     would else fold the constants of nested products, and an overflow of its own would look like one of theirs."""
     bound = F.struct(a.alias("a"), b.alias("b"))
     rules = {"added": F.try_add, "subtracted": F.try_subtract, "multiplied": F.try_multiply}
@@ -296,4 +367,14 @@ def checked(a: Column, b: Column) -> dict:
     def of(rule) -> Column:
         return let(bound, lambda x: rule(x["a"], x["b"]))
 
-    return {n: of(rule) for n, rule in rules.items()} | {"negated": let(a, lambda x: F.try_subtract(F.lit(0).cast("long"), x))}
+    def whole(rule) -> Column:
+        """Null by zero, and where the least number is divided by -1, as its quotient doesn't fit."""
+
+        def checked_(x: Column) -> Column:
+            bad = (x["b"] == 0) | ((x["b"] == -1) & (x["a"] == F.lit(-(2**63)).cast("long")))
+            return F.when(~bad, rule(x["a"], F.when(~bad, x["b"])))
+
+        return let(bound, checked_)
+
+    more = {"divided": whole(lambda x, y: F.call_function("div", x, y)), "remainder": whole(lambda x, y: x % y)}
+    return {n: of(rule) for n, rule in rules.items()} | more | {"negated": let(a, lambda x: F.try_subtract(F.lit(0).cast("long"), x))}

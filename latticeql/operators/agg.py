@@ -34,3 +34,19 @@ def checksum(df: DataFrame, keys: list, columns: list) -> DataFrame:
     """An order-independent checksum of the columns for each key."""
     row = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.crc32(row.cast("binary"))).alias("checksum"))
+
+
+def timestep(patches: DataFrame, factor: float, spacings: list) -> DataFrame:
+    """dt: the factor times the least spacing over patches and directions."""
+    return patches.agg((F.lit(float(factor)) * F.min(F.least(*spacings))).alias("dt"))
+
+
+def places(df: DataFrame, value: str, at: list) -> DataFrame:
+    """The least and the greatest value with their places, the smallest place of ties, and sumloc: the sums of value times place. Values
+    that aren't numbers count as neither; -0.0 is 0."""
+    v = F.col(value) + F.lit(0.0)
+    place = F.struct(*[F.col(a) for a in at])
+    real = df.filter(~F.isnan(value) & F.col(value).isNotNull())
+    low, high = F.min(F.struct(v.alias("v"), place.alias("at"))), F.min(F.struct((-v).alias("v"), place.alias("at")))
+    out = real.agg(low.alias("low"), high.alias("high"), *[F.sum(v * F.col(a)).alias(f"sumloc_{a}") for a in at])
+    return out.select(F.col("low.v").alias("min"), *[F.col(f"low.at.{a}").alias(f"minloc_{a}") for a in at], (-F.col("high.v") + F.lit(0.0)).alias("max"), *[F.col(f"high.at.{a}").alias(f"maxloc_{a}") for a in at], *[f"sumloc_{a}" for a in at])

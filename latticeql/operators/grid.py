@@ -76,36 +76,145 @@ def shifted(df: DataFrame, value: str, offsets: dict, n: int | None = None) -> D
     return df.join(near, list(AXES), "left")
 
 
-def filled(df: DataFrame, value: str, n: int, layers: int, kind: str, constant: float = 0.0, parity: int = 1) -> DataFrame:
-    """The grid with its boundary layers filled from the interior: dirichlet, neumann, linear, robin (1/r, cell centres of
-    the unit cube about its corner) or reflection (cell centred). The interior is joined once on the source index."""
-    src = [nearest_interior(a, n, layers) for a in AXES]
-    if kind == "dirichlet":
-        return df.withColumn(value, F.when(region(n, layers) == "bnd", F.lit(float(constant))).otherwise(F.col(value)))
-    if kind == "reflection":
-        src = [F.when(F.col(a) < layers, 2 * layers - 1 - F.col(a)).when(F.col(a) > n - 1 - layers, 2 * (n - layers) - 1 - F.col(a)).otherwise(F.col(a)) for a in AXES]
-    inner = df.filter(region(n, layers) == "int").select(*[F.col(a).alias(f"s{a}") for a in AXES], F.col(value).alias("v_"))
-    out = df.select("*", *[s.cast("int").alias(f"s{a}") for s, a in zip(src, AXES, strict=True)])
-    out = out.join(inner, [f"s{a}" for a in AXES])
-    flips = sum((F.when(normal(a, n, layers) != 0, 1).otherwise(0) for a in AXES), F.lit(0))
+def shifted_several(df: DataFrame, wanted: dict, n: int | None = None) -> DataFrame:
+    """The grid with a column for each (name, (value, (di, dj, dk))): that neighbour's value, from one shuffle of what is scattered, the
+    points themselves among it; periodic if n is given."""
+    centre = (0,) * len(AXES)
+    offsets = sorted({o for _, o in wanted.values()} | {centre})
+    moves = F.array(*[F.struct(F.lit(x).alias("x"), *[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, o, strict=True)]) for x, o in enumerate(offsets)])
+    target = [F.col(a) - F.col(f"m.d{a}") for a in AXES]
+    target = [(F.pmod(t, F.lit(n)) if n else t).cast("int").alias(a) for t, a in zip(target, AXES, strict=True)]
+    rest = [c for c in df.columns if c not in AXES]
+    sent = df.withColumn("m", F.explode(moves)).select(*target, F.col("m.x").alias("x_"), *rest)
+    own = F.col("x_") == offsets.index(centre)
+    near = [F.max(F.when(F.col("x_") == offsets.index(o), F.col(v))).alias(name) for name, (v, o) in wanted.items()]
+    return sent.groupBy(*AXES).agg(*[F.max(F.when(own, F.col(c))).alias(c) for c in rest], *near, F.max(own).alias("own_")).filter("own_").drop("own_")
+
+
+KINDS = {"none", "dirichlet", "neumann", "linear", "robin", "reflection", "periodic"}
+
+
+def faces(default: str = "none", **kinds: str) -> dict:
+    """The kind of boundary at each face of the domain: a default, and others by face (i_lower, i_upper, j_lower and so on). The same
+    face can't have two, so that a symmetry there excludes any other condition."""
+    names = [f"{a}_{side}" for a in AXES for side in ("lower", "upper")]
+    out = dict.fromkeys(names, default) | kinds
+    if unknown := set(out) - set(names) | set(out.values()) - KINDS:
+        raise ValueError(f"unknown faces or kinds: {', '.join(sorted(unknown))}")
+    for a in AXES:
+        if (out[f"{a}_lower"] == "periodic") != (out[f"{a}_upper"] == "periodic"):
+            raise ValueError("a periodic axis is periodic at both faces")
+    return out
+
+
+def outer_valid(kinds: dict) -> bool:
+    """Whether a synchronisation leaves the whole outer boundary valid: if each face has a symmetry or a condition."""
+    return all(k != "none" for k in kinds.values())
+
+
+def bounded(df: DataFrame, value: str, n: int, layers: int, kinds: dict, constant: float = 0.0, limit: float = 0.0, parity: tuple = (1, 1, 1), centring: str = "ccc", lower: float = 0.0, h: float = 1.0) -> DataFrame:
+    """The grid with its boundary layers filled from the interior, by the kinds of faces(). At edges and corners each axis has
+    its face's kind: dirichlet (constant) wins; else the value at the source, which each axis sets, with 1/r fall-off to the limit once
+    for each robin axis, the slope along the linear axes, and the parities of the reflecting ones. Only boundary points are
+    joined, with a shell of points as thick as sources reach."""
+    side = {a: normal(a, n, layers) for a in AXES}
+
+    def at(a: str, low, high, inside) -> Column:
+        return F.when(side[a] < 0, low).when(side[a] > 0, high).otherwise(inside)
+
+    def has(a: str, *kind: str) -> Column:
+        return at(a, F.lit(kinds[f"{a}_lower"] in kind), F.lit(kinds[f"{a}_upper"] in kind), F.lit(False))
+
+    def source(a: str, upper: bool) -> Column:
+        kind, c, shift = kinds[f"{a}_{'upper' if upper else 'lower'}"], F.col(a), 1 if centring[AXES.index(a)] == "c" else 0
+        if kind in ("neumann", "linear", "robin"):
+            return F.lit(n - 1 - layers if upper else layers)
+        if kind == "reflection":
+            return 2 * (n - 1 - layers) + shift - c if upper else 2 * layers - shift - c
+        if kind == "periodic":
+            return c - (n - 2 * layers) if upper else c + (n - 2 * layers)
+        return c
+
+    touched = has(AXES[0], *(KINDS - {"none"}))
+    for a in AXES[1:]:
+        touched = touched | has(a, *(KINDS - {"none"}))
+    shell = df.filter(~touched & (region(n, 3 * layers + 1) == "bnd")).select(*[F.col(a).alias(f"s{a}") for a in AXES], F.col(value).alias("v_"))
+    out = df.filter(touched).select("*", *[at(a, source(a, False), source(a, True), F.col(a)).cast("int").alias(f"s{a}") for a in AXES])
+    out = out.join(shell, [f"s{a}" for a in AXES], "left")
+    flag = lambda *kind: {a: F.when(has(a, *kind), 1).otherwise(0) for a in AXES}
     new = F.col("v_")
-    if kind == "reflection":
-        new = F.col("v_") * F.when(flips % 2 == 1, F.lit(float(parity))).otherwise(F.lit(1.0))
-    elif kind == "robin":
-        r = lambda cols: F.sqrt(sum(((c + F.lit(0.5)) * (c + F.lit(0.5)) for c in cols), F.lit(0.0)))
-        new = F.lit(float(constant)) + r([F.col(f"s{a}") for a in AXES]) / r([F.col(a) for a in AXES]) * (F.col("v_") - F.lit(float(constant)))
-    elif kind == "linear":
-        second = inner.select(*[F.col(f"s{a}").alias(f"t{a}") for a in AXES], F.col("v_").alias("w_"))
-        out = out.select("*", *[(F.col(f"s{a}") - normal(a, n, layers)).cast("int").alias(f"t{a}") for a in AXES]).join(second, [f"t{a}" for a in AXES])
-        steps = F.greatest(*[F.abs(F.col(a) - F.col(f"s{a}")) for a in AXES])
-        new = F.col("v_") + steps * (F.col("v_") - F.col("w_"))
-    return out.withColumn(value, F.when(region(n, layers) == "bnd", new).otherwise(F.col(value))).select(df.columns)
-
-
-def line(df: DataFrame, axis: str, at: int) -> DataFrame:
-    """The points on a line along an axis through an index of the other two."""
+    if "robin" in kinds.values():
+        offset = {a: F.lit(0.5 if c == "c" else 0.0) for a, c in zip(AXES, centring, strict=True)}
+        r = lambda p: F.sqrt(sum((F.pow(F.lit(lower) + (F.col(f"{p}{a}") + offset[a]) * F.lit(h), F.lit(2.0)) for a in AXES), F.lit(0.0)))
+        times = sum(flag("robin").values(), F.lit(0))
+        new = F.lit(float(limit)) + F.pow(r("s") / r(""), times) * (new - F.lit(float(limit)))
+    if "linear" in kinds.values():
+        second = shell.select(*[F.col(f"s{a}").alias(f"t{a}") for a in AXES], F.col("v_").alias("w_"))
+        linear = flag("linear")
+        out = out.select("*", *[(F.col(f"s{a}") - linear[a] * side[a]).cast("int").alias(f"t{a}") for a in AXES]).join(second, [f"t{a}" for a in AXES], "left")
+        far = sum(((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in AXES), F.lit(0))
+        axes = sum(linear.values(), F.lit(0))
+        new = F.when(axes > 0, new + F.sqrt(far / F.greatest(axes, F.lit(1))) * (new - F.col("w_"))).otherwise(new)
+    for a, sign in zip(AXES, parity, strict=True):
+        if sign < 0:
+            new = F.when(has(a, "reflection"), -new).otherwise(new)
+    given = flag("dirichlet")
+    new = F.when(sum(given.values(), F.lit(0)) > 0, F.lit(float(constant))).otherwise(new)
+    done = out.select(*[new.alias(c) if c == value else F.col(c) for c in df.columns])
+    return df.filter(~touched).select(df.columns).unionByName(done)
+
+
+def filled(df: DataFrame, value: str, n: int, layers: int, kind: str, constant: float = 0.0, parity: int = 1) -> DataFrame:
+    """The same kind at all faces, with one parity for all axes."""
+    return bounded(df, value, n, layers, faces(kind), constant, constant, (parity,) * 3)
+
+
+def loop(df: DataFrame, where: str, n: int, layers: int = 1, ghost: str | None = None) -> DataFrame:
+    """The points of a part of the grid: everywhere, interior, boundary or ghosts (rows that the column ghost marks)."""
+    if where == "everywhere":
+        return df
+    if where == "ghosts":
+        return df.filter(F.col(ghost)) if ghost else df.limit(0)
+    if where not in ("interior", "boundary"):
+        raise ValueError(f"unknown part of a grid: {where}")
+    return df.filter(region(n, layers) == ("int" if where == "interior" else "bnd"))
+
+
+def active(df: DataFrame, levels: tuple, patches: tuple | None = None) -> DataFrame:
+    """The rows of a window of levels, and of patches: the first to the last but one."""
+    out = df.filter((F.col("level") >= levels[0]) & (F.col("level") < levels[1]))
+    return out if patches is None else out.filter((F.col("patch") >= patches[0]) & (F.col("patch") < patches[1]))
+
+
+def octant_weight(cells: DataFrame) -> DataFrame:
+    """i, j, k (vertices) and weight: an eighth for each of the cells (i, j, k) around a vertex. Of cells that lie in the domain and
+    that no finer level covers, it is a vertex's share of the volume. One aggregation, combined before the shuffle."""
+    corners = F.array(*[F.struct(*[F.lit(o >> n & 1).alias(f"d{a}") for n, a in enumerate(AXES)]) for o in range(8)])
+    sent = cells.select(*AXES, F.explode(corners).alias("o")).select(*[(F.col(a) + F.col(f"o.d{a}")).cast("int").alias(a) for a in AXES])
+    return sent.groupBy(*AXES).agg((F.count("*") / F.lit(8.0)).alias("weight"))
+
+
+def buffer(coarse: DataFrame, fine: DataFrame, width: int) -> DataFrame:
+    """The coarse cells that a prolongation to the fine cells reads: those that hold one, and as many around as the stencil is wide.
+    An equality join on computed keys."""
+    reach = F.sequence(F.lit(-width), F.lit(width))
+    blocks = fine.select(*[F.floor(F.col(a) / 2).cast("int").alias(a) for a in AXES]).distinct()
+    for a in AXES:
+        blocks = blocks.select(*[F.explode(F.transform(reach, lambda o, a=a: F.col(a) + o)).cast("int").alias(b) if b == a else F.col(b) for b in AXES]).distinct()
+    return coarse.join(blocks, list(AXES), "left_semi")
+
+
+def point_type(n: int, layers: int, covered: Column | None = None) -> Column:
+    """int, bdry, or rest for points whose values a finer level gives."""
+    kind = F.when(region(n, layers) == "bnd", "bdry").otherwise("int")
+    return kind if covered is None else F.when(covered, "rest").otherwise(kind)
+
+
+def line(df: DataFrame, axis: str, at: int | dict) -> DataFrame:
+    """The points on a line along an axis through an index of the other two, or one for each by name."""
     rest = [a for a in AXES if a != axis]
-    return df.filter((F.col(rest[0]) == at) & (F.col(rest[1]) == at))
+    where = at if isinstance(at, dict) else dict.fromkeys(rest, at)
+    return df.filter((F.col(rest[0]) == where[rest[0]]) & (F.col(rest[1]) == where[rest[1]]))
 
 
 def nearest_index(coordinate: float, lower: float, h: float) -> int:

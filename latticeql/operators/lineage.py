@@ -1,21 +1,36 @@
-"""Reliable cuts of lineage for iterations."""
+"""Reliable cuts of lineage for iterations, and folders that all executors share."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local session without the setting, as in tests, gets a folder of its own,
+    which goes with the process."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="latticeql-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing has used yet."""
+    return f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, from a checkpoint in the folder that spark.checkpoint.dir names. Only a local session without the setting, as in
-    tests, gets a folder of its own."""
+    """The rows, from a checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if at is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            at = tempfile.mkdtemp(prefix="latticeql-")
-        spark.sparkContext.setCheckpointDir(at)
+        spark.sparkContext.setCheckpointDir(folder(spark))
     return df.checkpoint()

@@ -13,6 +13,7 @@ from latticeql.operators.lineage import cut
 
 #: Rows of coefficients of each stage's earlier stages, and weights of the stages.
 TABLEAUS = {
+    "constant": ([[]], [Q(0)]),
     "euler": ([[]], [Q(1)]),
     "rk2": ([[], [Q(1, 2)]], [Q(0), Q(1)]),
     "rk3": ([[], [Q(1, 2)], [Q(-1), Q(2)]], [Q(1, 6), Q(2, 3), Q(1, 6)]),
@@ -69,13 +70,29 @@ def lincomb(terms: list, keys: list, values: list) -> DataFrame:
 
 
 def step(state: DataFrame, rhs: Callable, h: float, method: str, keys: list, values: list, t: float = 0.0) -> DataFrame:
-    """A step of a method; rhs(t, state) gives the state's derivative."""
+    """A step of a method; rhs(t, state) gives the state's derivative. Stages are columns of one wide row a point: a stage costs its
+    right-hand side and a join of the slopes, and lineage is cut between stages, so a plan holds one stage whatever the tableau."""
     rows, weights = TABLEAUS[method]
-    ks: list = []
-    for row in rows:
-        y = lincomb([(1, state), *((h * float(a), k) for a, k in zip(row, ks, strict=False) if a)], keys, values)
-        ks.append(rhs(t + h * float(sum(row)), y))
-    return lincomb([(1, state), *((h * float(w), k) for w, k in zip(weights, ks, strict=True) if w)], keys, values)
+    wide, known = state.select(*keys, *values), []
+
+    def moved(row: list) -> list:
+        """The values plus h times the sum of known slopes."""
+        return [sum((F.lit(h * float(a)) * F.col(f"k{n}_{v}_") for n, a in enumerate(row) if a), F.col(v)).alias(v) for v in values]
+
+    for n, row in enumerate(rows):
+        if not any(weights[n:]) and not any(len(later) > n and later[n] for later in rows):
+            continue
+        if n:
+            wide = cut(wide)
+        slope = rhs(t + h * float(sum(row)), wide.select(*keys, *moved(row)))
+        slope = slope.select(*keys, *[F.col(v).alias(f"k{n}_{v}_") for v in values])
+        wide, known = wide.join(slope, keys), [*known, n]
+    return wide.select(*keys, *moved(weights))
+
+
+def implicit_euler(state: DataFrame, solve: Callable, h: float) -> DataFrame:
+    """A step y1 = y0 + h f(y1): solve(y, h) gives it for the implicit part."""
+    return solve(state, h)
 
 
 def pointwise_step(df: DataFrame, rhs: Callable, h: float, method: str, values: list, t: float = 0.0) -> DataFrame:

@@ -11,11 +11,13 @@ from latticeql.operators.lines import prolongate_along
 
 
 def restrict(df: DataFrame, value: str, centring: str = "ccc") -> DataFrame:
-    """Fine to coarse: along cell axes (c) pairs are averaged, along vertex axes (v) even points are taken."""
+    """Fine to coarse: along cell axes (c) pairs are averaged, along vertex axes (v) even points are taken. Coarse points that don't
+    have all of their 1, 2, 4 or 8 fine ones are left out."""
     for a, c in zip(AXES, centring, strict=True):
         if c == "v":
             df = df.filter(F.col(a) % 2 == 0)
-    return df.groupBy(*[F.floor(F.col(a) / 2).cast("int").alias(a) for a in AXES]).agg(F.avg(value).alias(value))
+    out = df.groupBy(*[F.floor(F.col(a) / 2).cast("int").alias(a) for a in AXES]).agg(F.avg(value).alias(value), F.count("*").alias("n_"))
+    return out.filter(F.col("n_") == 2 ** centring.count("c")).drop("n_")
 
 
 def prolongate(df: DataFrame, value: Column, left: dict, right: dict, name: str = "value") -> DataFrame:

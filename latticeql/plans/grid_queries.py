@@ -77,10 +77,22 @@ TWO = f"{cube_sql(8, 'b')}, {cube_sql(16, 'c')}, f as (select * from c where i b
 add("norms_amr_masked", amr_norms, f"with {TWO}, l as (select u, {8 / 4096!r} as w from x union all select u, {1 / 4096!r} from f), {norms_sql('l', ['u'], 'w')}")
 add("fine_mask", lambda s, d: grid.covered_by(cube(s, d, 8), two_levels(s, d)[1]).select(*AXES, "u"), f"with {cube_sql(8, 'b')} select i, j, k, u from b where i between 2 and 5 and j between 2 and 5 and k between 2 and 5")
 add("grid_stats", lambda s, d: (lambda c, f: c.select(F.lit(0).alias("level"), *AXES).unionByName(f.select(F.lit(1).alias("level"), *AXES)).groupBy("level").agg(F.count("*").alias("cells"), F.countDistinct(*[F.floor(U(a) / 4) for a in AXES]).alias("boxes")))(*two_levels(s, d)), f"with {TWO}, l as (select 0 as level, i, j, k from x union all select 1, i, j, k from f) select level, count(*) as cells, count(distinct (i // 4, j // 4, k // 4)) as boxes from l group by level")
-add("checksum_blocks", lambda s, d: agg.checksum(cube(s, d).select((F.floor(U("k") / 4)).cast("int").alias("block"), *[U(a).cast("string") for a in AXES], U("u").cast("long").cast("string").alias("u")), ["block"], [*AXES, "u"]))
+add("checksum_blocks", lambda s, d: agg.checksum(cube(s, d).select((F.floor(U("k") / 4)).cast("int").alias("block"), *[U(a).cast("string") for a in AXES], U("u").cast("long").cast("string").alias("u")), ["block"], [*AXES, "u"]), f"""with {cube_sql()}, t as (select (k // 4)::int as block, concat_ws('|', i, j, k, u::bigint) as t from c),
+o as (select block, flatten(list_transform(string_split(t, ''), lambda c: list_concat([ord(c)::bigint], [-1::bigint for z in range(8)]))) as o from t),
+q as (select block, xor(list_reduce(list_concat([4294967295::bigint], o), lambda a, x: case when x >= 0 then xor(a, x) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end), 4294967295) as crc from o)
+select block, count(*) as n, sum(crc)::bigint as checksum from q group by block""")
 add("residual_by_plane", lambda s, d: cube(s, d).groupBy("k").agg(F.max(F.abs(U("u") - U("v"))).alias("residual")), f"with {cube_sql()} select k, max(abs(u - v)) as residual from c group by k")
 add("any_by_plane", lambda s, d: cube(s, d).groupBy("i").agg(F.bool_or(U("v") > 0).alias("up"), F.bool_and(U("u") > 0).alias("filled")), f"with {cube_sql()} select i, bool_or(v > 0) as up, bool_and(u > 0) as filled from c group by i")
-add("timestep", lambda s, d: grid.coordinates(cube(s, d, 8), 8).agg((F.lit(0.5) * F.pow(F.min("cvol"), F.lit(1 / 3))).alias("raw"), F.lit(0.0625).alias("dt")).select("dt"), "select 0.0625::double as dt")
+
+
+def patches_of(s, d):
+    """A patch for each region: its extent is 2 along each axis, and its cells are counted by its nations."""
+    k = U("n_nationkey")
+    cells = s.read.parquet(f"{d}/nation.parquet").groupBy(U("n_regionkey").alias("patch")).agg((F.min(k) + 8).alias("ci"), (F.max(k) + 8).alias("cj"), (F.count("*") * 3).alias("ck"))
+    return cells.select("patch", *[(F.lit(2.0) / U(f"c{a}")).alias(f"d{a}") for a in AXES])
+
+
+add("timestep", lambda s, d: agg.timestep(patches_of(s, d), 0.5, ["di", "dj", "dk"]), "select 0.5e0 * min(least(2e0 / a, 2e0 / b, 2e0 / c)) as dt from (select n_regionkey, min(n_nationkey) + 8 as a, max(n_nationkey) + 8 as b, count(*) * 3 as c from nation group by 1)")
 
 # -- points, regions, slices, predicates -------------------------------------------------------------------------------
 
@@ -129,10 +141,7 @@ for _p in (2, 4, 6, 8):
     linear(f"mixed_deriv_o{_p}", {(a, b, 0): x * y for a, x in W.centred(_p, 1).items() for b, y in W.centred(_p, 1).items()}, 1 / H**2)
 
     def _upwind(s, d, p=_p):
-        up, c = stencil.along(W.upwind(p), "i"), cube(s, d)
-        down = stencil.along(W.mirrored(W.upwind(p), -1), "i")
-        parts = [stencil.scatter(c, U("u"), r, 1 / H, N, name=n) for r, n in ((up, "up"), (down, "down"))]
-        return c.join(parts[0], list(AXES)).join(parts[1], list(AXES)).select(*AXES, (U("v") * F.when(U("v") >= 0, U("up")).otherwise(U("down"))).alias("value"))
+        return stencil.upwind(cube(s, d), "u", "v", "i", W.upwind(p), W.mirrored(W.upwind(p), -1), 1 / H, N)
 
     def _upwind_sql(p=_p):
         one, two = (", ".join(f"({k}, {w}e0)" for k, w in W.whole(r)[0].items()) for r in (W.upwind(p), W.mirrored(W.upwind(p), -1)))
@@ -162,14 +171,17 @@ add("energy_density", energy, f"with {cube_sql()} select c.i, c.j, c.k, (c.v * c
 
 
 def curl(s, d):
-    """The z component of the curl of (u, v, 0), and that of a gradient, which is zero."""
+    """The curl of (u, v, u + v) on staggered places: forward differences, all three components, from one shuffle."""
     c = cube(s, d)
-    two = grid.shifted(c, "u", {"uj": (0, 1, 0), "ui": (1, 0, 0), "uij": (1, 1, 0)}).join(grid.shifted(c, "v", {"vi": (1, 0, 0)}).select(*AXES, "vi"), list(AXES)).filter("uij is not null")
-    gradient = (U("uij") - U("ui")) - (U("uj") - U("u")) - ((U("uij") - U("uj")) - (U("ui") - U("u")))
-    return two.select(*AXES, (((U("vi") - U("v")) - (U("uj") - U("u"))) * F.lit(16.0)).alias("curl"), gradient.alias("gradient_curl"))
+    near = grid.shifted_several(c, {f"{f}{a}": (f, tuple(int(x == a) for x in AXES)) for f, a in (("u", "j"), ("u", "k"), ("v", "i"), ("v", "k"), ("u", "i"), ("v", "j"))})
+    near = near.filter("ui is not null and vj is not null and uk is not null")
+    w = {a: U(f"u{a}") + U(f"v{a}") for a in ("i", "j")}
+    here = U("u") + U("v")
+    parts = {"curl_i": (w["j"] - here) - (U("vk") - U("v")), "curl_j": (U("uk") - U("u")) - (w["i"] - here), "curl_k": (U("vi") - U("v")) - (U("uj") - U("u"))}
+    return near.select(*AXES, *[(x * F.lit(16.0)).alias(n) for n, x in parts.items()])
 
 
-add("curl", curl, f"with {cube_sql()} select c.i, c.j, c.k, ((a.v - c.v) - (b.u - c.u)) * 16e0 as curl, 0e0 as gradient_curl from c join c a on a.i = c.i + 1 and a.j = c.j and a.k = c.k join c b on b.i = c.i and b.j = c.j + 1 and b.k = c.k")
+add("curl", curl, f"with {cube_sql()} select c.i, c.j, c.k, ((y.u + y.v - c.u - c.v) - (z.v - c.v)) * 16e0 as curl_i, ((z.u - c.u) - (x.u + x.v - c.u - c.v)) * 16e0 as curl_j, ((x.v - c.v) - (y.u - c.u)) * 16e0 as curl_k from c join c x on x.i = c.i + 1 and x.j = c.j and x.k = c.k join c y on y.i = c.i and y.j = c.j + 1 and y.k = c.k join c z on z.i = c.i and z.j = c.j and z.k = c.k + 1")
 
 
 def characteristic(s, d):
@@ -184,11 +196,11 @@ for _n in (2, 3, 4):
         """Derivatives in elements of n equidistant nodes, by the nodes' Lagrange polynomial: a join on the element."""
         rows = [(p, q, float(W.derivative(list(range(n)), 1, Fraction(p)).get(q, 0) * 60)) for p in range(n) for q in range(n)]
         m = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(w).alias("w")) for p, q, w in rows])
-        sent = cube(s, d).filter(U("i") < N // n * n).withColumn("m", F.explode(F.filter(m, lambda x: x["q"] == U("i") % n)))
+        sent = cube(s, d, N // n * n).withColumn("m", F.explode(F.filter(m, lambda x: x["q"] == U("i") % n)))
         return sent.groupBy((F.floor(U("i") / n) * n + U("m.p")).cast("int").alias("i"), "j", "k").agg((F.sum(U("m.w") * U("u")) / F.lit(60.0)).alias("value"))
 
     _vals = ", ".join(f"({p}, {q}, {float(W.derivative(list(range(_n)), 1, Fraction(p)).get(q, 0) * 60)!r}::double)" for p in range(_n) for q in range(_n))
-    add(f"element_derivative_n{_n}", _element, f"with {cube_sql()} select c.i, c.j, c.k, sum(w.w * o.u) / 60e0 as value from c join (values {_vals}) w(p, q, w) on w.p = c.i % {_n} join c o on o.i = (c.i // {_n}) * {_n} + w.q and o.j = c.j and o.k = c.k where c.i < {N // _n * _n} group by all")
+    add(f"element_derivative_n{_n}", _element, f"with {cube_sql(N // _n * _n)} select c.i, c.j, c.k, sum(w.w * o.u) / 60e0 as value from c join (values {_vals}) w(p, q, w) on w.p = c.i % {_n} join c o on o.i = (c.i // {_n}) * {_n} + w.q and o.j = c.j and o.k = c.k group by all")
 
 # -- levels ------------------------------------------------------------------------------------------------------------
 
@@ -259,8 +271,10 @@ _ODD = " + ".join(f"(q.{a} <> q.s{a})::int" for a in AXES)
 add("bc_dirichlet", lambda s, d: grid.filled(cube(s, d), "u", N, 2, "dirichlet", 5.0).select(*AXES, "u"), f"with {cube_sql()} select i, j, k, case when {region_sql(layers=2)} then u else 5e0 end as u from c")
 add("bc_neumann", lambda s, d: grid.filled(cube(s, d), "u", N, 2, "neumann").select(*AXES, "u"), f"with {cube_sql()}, q as (select i, j, k, {_SRC} from c) select q.i, q.j, q.k, o.u from q join c o on {_ON}")
 add("bc_reflection", lambda s, d: grid.filled(cube(s, d), "u", N, 2, "reflection", parity=-1).select(*AXES, "u"), f"with {cube_sql()}, q as (select i, j, k, {_REF} from c) select q.i, q.j, q.k, o.u * case when ({_ODD}) % 2 = 1 then -1e0 else 1e0 end as u from q join c o on {_ON}")
-add("bc_robin", lambda s, d: grid.filled(cube(s, d), "u", N, 2, "robin", 1.0).select(*AXES, F.round("u", 6).alias("u")), f"with {cube_sql()}, q as (select c.*, {_SRC} from c) select q.i, q.j, q.k, round(case when {' and '.join(f'q.{a} between 2 and 13' for a in AXES)} then q.u else 1e0 + sqrt({' + '.join(f'pow(q.s{a} + 0.5e0, 2)' for a in AXES)}) / sqrt({' + '.join(f'pow(q.{a} + 0.5e0, 2)' for a in AXES)}) * (o.u - 1e0) end, 6) as u from q join c o on {_ON}")
-add("bc_linear", lambda s, d: grid.filled(cube(s, d), "u", N, 2, "linear").select(*AXES, "u"), f"with {cube_sql()}, q as (select c.*, {_SRC}, {', '.join(f'greatest(2, least({a}, 13)) + case when {a} < 2 then 1 when {a} > 13 then -1 else 0 end as t{a}' for a in AXES)} from c) select q.i, q.j, q.k, o.u + greatest({', '.join(f'abs(q.{a} - q.s{a})' for a in AXES)}) * (o.u - p.u) as u from q join c o on {_ON} join c p on {' and '.join(f'p.{a} = q.t{a}' for a in AXES)}")
+_FAR = " + ".join(f"(q.{a} - q.s{a}) * (q.{a} - q.s{a})" for a in AXES)
+_OUT = " + ".join(f"(q.{a} not between 2 and 13)::int" for a in AXES)
+add("bc_robin", lambda s, d: grid.filled(cube(s, d), "u", N, 2, "robin", 1.0).select(*AXES, F.round("u", 6).alias("u")), f"with {cube_sql()}, q as (select c.*, {_SRC} from c) select q.i, q.j, q.k, round(case when {' and '.join(f'q.{a} between 2 and 13' for a in AXES)} then q.u else 1e0 + pow(sqrt({' + '.join(f'pow(q.s{a} + 0.5e0, 2)' for a in AXES)}) / sqrt({' + '.join(f'pow(q.{a} + 0.5e0, 2)' for a in AXES)}), {_OUT}) * (o.u - 1e0) end, 6) as u from q join c o on {_ON}")
+add("bc_linear", lambda s, d: grid.filled(cube(s, d), "u", N, 2, "linear").select(*AXES, F.round("u", 6).alias("u")), f"with {cube_sql()}, q as (select c.*, {_SRC}, {', '.join(f'greatest(2, least({a}, 13)) + case when {a} < 2 then 1 when {a} > 13 then -1 else 0 end as t{a}' for a in AXES)} from c) select q.i, q.j, q.k, round(o.u + sqrt(({_FAR})::double / greatest({_OUT}, 1)) * (o.u - p.u), 6) as u from q join c o on {_ON} join c p on {' and '.join(f'p.{a} = q.t{a}' for a in AXES)}")
 
 # -- interpolation -----------------------------------------------------------------------------------------------------
 
@@ -383,6 +397,36 @@ add("streaming_restrict_analogue", lambda s, d: __import__("latticeql.streaming.
 add("validity_check", lambda s, d: quality.invalid(quality.poison(cube(s, d), "u", N), ["u", "v"], N), f"with {cube_sql()}, q as (select case when {region_sql()} then 'int' else 'bnd' end as region from c) select variable, region, count(*) as points, sum(case when variable = 'u' and region = 'bnd' then 1 else 0 end)::bigint as undefined from q, (values ('u'), ('v')) t(variable) group by 1, 2")
 add("dedup_ghost_rows", lambda s, d: tsv.keep_first(cube(s, d).select(*AXES, "u", F.lit(0).alias("isghost")).unionByName(cube(s, d).filter(U("i") < 3).select(*AXES, (U("u") + 1).alias("u"), F.lit(1).alias("isghost"))), list(AXES)), f"with {cube_sql()} select i, j, k, u from c")
 add("particles_stats", lambda s, d: particles(s, d).groupBy("label").agg(F.count("*").alias("n"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.round(F.avg("z"), 6).alias("z_avg")), f"select label, count(*) as n, max({_e(0)}) as x_max, min({_e(1)}) as y_min, round(avg({_e(2)}), 6) as z_avg from embeddings group by label")
-add("exact_error", lambda s, d: agg.norms(linear_grid(s).withColumn("u", U("f") - (U("x") + F.lit(2.0) * U("y") - F.lit(4.0) * U("z") * U("x"))), ["u"], F.lit(H**3)).select("u_maxabs"), "select 0e0 as u_maxabs")
+
+
+def exact_error(s, d):
+    """A standing wave on 8^3 periodic vertices, a step of rk2 for its two first-order equations, less the exact solution at that time."""
+    two_pi, dt = F.lit(6.283185307179586), 1 / 64
+    x = [U(a) / F.lit(8.0) for a in AXES]
+    start = F.cos(two_pi * x[0]) * F.cos(two_pi * x[1]) * F.cos(two_pi * x[2])
+    first = grid.points(s, 8).select(*AXES, start.alias("u"), F.lit(0.0).alias("v"))
+    box = stencil.summed(*[stencil.along(W.centred(2, 2), a) for a in AXES])
+    rhs = lambda t, y: stencil.scatter_several(y, U("u"), {"l": (box, 64.0)}, 8, ("v",), True).select(*AXES, U("v").alias("u"), U("l").alias("v"))
+    after = ode.step(first, rhs, dt, "rk2", list(AXES), ["u", "v"])
+    exact = start * F.cos(two_pi * F.sqrt(F.lit(3.0)) * F.lit(dt))
+    norms = agg.norms(after.withColumn("e", U("u") - exact), ["e"], F.lit(1 / 512))
+    return norms.select(F.round("e_maxabs", 10).alias("e_maxabs"), F.round("e_l2norm", 10).alias("e_l2norm"))
+
+
+# The wave is an eigenfunction of the difference operator, so a step multiplies it; the mean of its square is 1/8.
+add("exact_error", exact_error, "select round(abs(f), 10) as e_maxabs, round(abs(f) / sqrt(8e0), 10) as e_l2norm from (select 1e0 + 3 * 64e0 * (2 * cos(6.283185307179586 / 8) - 2) / (2 * 64e0 * 64e0) - cos(6.283185307179586 * sqrt(3e0) / 64) as f)")
 add("geo_patches", lambda s, d: s.read.parquet(f"{d}/customer.parquet").join(s.read.parquet(f"{d}/nation.parquet"), U("c_nationkey") == U("n_nationkey")).groupBy(U("n_regionkey").alias("patch"), U("n_nationkey").alias("component")).agg(F.count("*").alias("points")), "select n_regionkey as patch, n_nationkey as component, count(*) as points from customer join nation on c_nationkey = n_nationkey group by 1, 2")
-add("manifest", lambda s, d: s.createDataFrame([("norms", 24, "u,v"), ("lines", 24, "u")], "kind string, every long, variables string"))
+
+
+def manifest(s, d):
+    """What a run's output holds: a weekly output of the hours is written in the shared folder, and its files are read back."""
+    from latticeql.operators.lineage import shared
+    from latticeql.sources import records
+
+    at = shared(s, "output")
+    records.write_output(tsv.output_every(hours(s, d).withColumnRenamed("i", "iteration"), 168), at, "hours")
+    return records.manifest(s, at, "hours")
+
+
+add("manifest", manifest, f"with {HOURS_SQL} select 'hours' as name, i as iteration, count(*) as n_rows, 'event_type,u' as variables from h where i % 168 = 0 group by i")
+

@@ -34,6 +34,19 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()[0])
 
 
+def write_output(df: DataFrame, path: str, name: str) -> None:
+    """Rows with the column iteration, a folder for each iteration, and an entry in the registry of what is written."""
+    df.write.mode("errorifexists").option("compression", "zstd").partitionBy("iteration").parquet(f"{path}/{name}")
+    write_json(df.sparkSession, f"{path}/{name}.registry", {"name": name, "variables": [c for c in df.columns if c != "iteration"]})
+
+
+def manifest(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """name, iteration, n_rows, variables of an output, from its files and its registry."""
+    variables = ",".join(read_json(spark, f"{path}/{name}.registry")["variables"])
+    rows = spark.read.parquet(f"{path}/{name}").groupBy("iteration").agg(F.count("*").alias("n_rows"))
+    return rows.select(F.lit(name).alias("name"), "iteration", "n_rows", F.lit(variables).alias("variables"))
+
+
 def write_iteration(df: DataFrame, path: str, iteration: int, at: float, attributes: dict | None = None) -> None:
     """A grid (patch, level, i, j, k and values) with its attributes, partitioned so that readers of a level read no other."""
     df.write.mode("errorifexists").option("compression", "zstd").partitionBy("patch", "level").parquet(f"{path}/iteration={iteration}/data")
