@@ -197,10 +197,10 @@ def octant_weight(cells: DataFrame) -> DataFrame:
 def buffer(coarse: DataFrame, fine: DataFrame, width: int) -> DataFrame:
     """The coarse cells that a prolongation to the fine cells reads: those that hold one, and as many around as the stencil is wide.
     An equality join on computed keys."""
-    reach = F.sequence(F.lit(-width), F.lit(width))
+    reach = F.array(*map(F.lit, range(-width, width + 1)))
     blocks = fine.select(*[F.floor(F.col(a) / 2).cast("int").alias(a) for a in AXES]).distinct()
     for a in AXES:
-        blocks = blocks.select(*[F.explode(F.transform(reach, lambda o, a=a: F.col(a) + o)).cast("int").alias(b) if b == a else F.col(b) for b in AXES]).distinct()
+        blocks = blocks.withColumn("o", F.explode(reach)).select(*[(F.col(a) + F.col("o")).alias(b) if b == a else F.col(b) for b in AXES]).distinct()
     return coarse.join(blocks, list(AXES), "left_semi")
 
 

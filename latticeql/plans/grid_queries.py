@@ -37,8 +37,28 @@ s as (select c.i, c.j, c.k, sum(w.w * o.{value}) as s, count(*) as n from {table
 select i, j, k, s / {den}e0 * {scale!r} as {name} from s where n = {len(weights)}"""
 
 
-def linear(name: str, rows: dict, scale: float) -> None:
-    add(name, lambda s, d: stencil.scatter(cube(s, d), U("u"), rows, scale, N), f"with {cube_sql()}, {stencil_sql('c', 'u', rows, scale)}")
+def linear(name: str, rows: dict, scale: float, known: dict | None = None) -> None:
+    """known: the same row as published, for the SQL, so that a wrong row of the operator's shows."""
+    add(name, lambda s, d: stencil.scatter(cube(s, d), U("u"), rows, scale, N), f"with {cube_sql()}, {stencil_sql('c', 'u', known or rows, scale)}")
+
+
+# Published finite-difference rows by order of accuracy, as denominator, first offset and whole numbers: first and second
+# derivatives, the first derivative leaning forward, and Kreiss-Oliger dissipation.
+FIRST = {2: (2, -1, [-1, 0, 1]), 4: (12, -2, [1, -8, 0, 8, -1]), 6: (60, -3, [-1, 9, -45, 0, 45, -9, 1]), 8: (840, -4, [3, -32, 168, -672, 0, 672, -168, 32, -3])}
+SECOND = {2: (1, -1, [1, -2, 1]), 4: (12, -2, [-1, 16, -30, 16, -1]), 6: (180, -3, [2, -27, 270, -490, 270, -27, 2]), 8: (5040, -4, [-9, 128, -1008, 8064, -14350, 8064, -1008, 128, -9])}
+FORWARD = {2: (2, 0, [-3, 4, -1]), 4: (12, -1, [-3, -10, 18, -6, 1]), 6: (60, -2, [2, -24, -35, 80, -30, 8, -1]), 8: (840, -3, [-5, 60, -420, -378, 1050, -420, 140, -30, 3])}
+DISSIPATION = {2: (16, -2, [-1, 4, -6, 4, -1]), 4: (64, -3, [1, -6, 15, -20, 15, -6, 1]), 6: (256, -4, [-1, 8, -28, 56, -70, 56, -28, 8, -1]), 8: (1024, -5, [1, -10, 45, -120, 210, -252, 210, -120, 45, -10, 1])}
+# Published rows of prolongation, to the middle of vertices and to a cell's left child: by point values and by averages.
+PROLONG = {
+    "vertex_poly": {1: (2, 0, [1, 1]), 3: (16, -1, [-1, 9, 9, -1]), 5: (256, -2, [3, -25, 150, 150, -25, 3])},
+    "cell_poly": {0: (1, 0, [1]), 1: (4, -1, [1, 3]), 2: (32, -1, [5, 30, -3]), 3: (128, -2, [-5, 35, 105, -7])},
+    "cell_cons": {0: (1, 0, [1]), 1: (4, -1, [1, 3]), 2: (8, -1, [1, 8, -1]), 4: (128, -2, [-3, 22, 128, -22, 3])},
+}
+
+
+def published(row: tuple) -> dict:
+    den, first, numbers = row
+    return {first + k: Fraction(w, den) for k, w in enumerate(numbers) if w}
 
 
 # -- aggregates ---------------------------------------------------------------------------------------------------------
@@ -134,18 +154,19 @@ add("wave_initial", wave, "select r as id, round(cos(6.283185307179586 * ((r % 1
 # -- stencils ----------------------------------------------------------------------------------------------------------
 
 for _p in (2, 4, 6, 8):
-    linear(f"deriv1_o{_p}", stencil.along(W.centred(_p, 1), "i"), 1 / H)
-    linear(f"deriv2_o{_p}", stencil.along(W.centred(_p, 2), "j"), 1 / H**2)
-    linear(f"dissipation_o{_p}", stencil.summed(*[stencil.along(W.dissipation(_p), a) for a in AXES]), 1 / H)
-    linear(f"laplacian_o{_p}", stencil.summed(*[stencil.along(W.centred(_p, 2), a) for a in AXES]), 1 / H**2)
-    linear(f"mixed_deriv_o{_p}", {(a, b, 0): x * y for a, x in W.centred(_p, 1).items() for b, y in W.centred(_p, 1).items()}, 1 / H**2)
+    _first, _second = published(FIRST[_p]), published(SECOND[_p])
+    linear(f"deriv1_o{_p}", stencil.along(W.centred(_p, 1), "i"), 1 / H, stencil.along(_first, "i"))
+    linear(f"deriv2_o{_p}", stencil.along(W.centred(_p, 2), "j"), 1 / H**2, stencil.along(_second, "j"))
+    linear(f"dissipation_o{_p}", stencil.summed(*[stencil.along(W.dissipation(_p), a) for a in AXES]), 1 / H, stencil.summed(*[stencil.along(published(DISSIPATION[_p]), a) for a in AXES]))
+    linear(f"laplacian_o{_p}", stencil.summed(*[stencil.along(W.centred(_p, 2), a) for a in AXES]), 1 / H**2, stencil.summed(*[stencil.along(_second, a) for a in AXES]))
+    linear(f"mixed_deriv_o{_p}", {(a, b, 0): x * y for a, x in W.centred(_p, 1).items() for b, y in W.centred(_p, 1).items()}, 1 / H**2, {(a, b, 0): x * y for a, x in _first.items() for b, y in _first.items()})
 
     def _upwind(s, d, p=_p):
         return stencil.upwind(cube(s, d), "u", "v", "i", W.upwind(p), W.mirrored(W.upwind(p), -1), 1 / H, N)
 
     def _upwind_sql(p=_p):
-        one, two = (", ".join(f"({k}, {w}e0)" for k, w in W.whole(r)[0].items()) for r in (W.upwind(p), W.mirrored(W.upwind(p), -1)))
-        den, n = W.whole(W.upwind(p))[1], len(W.upwind(p))
+        one, two = (", ".join(f"({k}, {w}e0)" for k, w in W.whole(r)[0].items()) for r in (published(FORWARD[p]), W.mirrored(published(FORWARD[p]), -1)))
+        den, n = W.whole(published(FORWARD[p]))[1], len(published(FORWARD[p]))
         side = lambda t, v: f"{t} as (select c.i, c.j, c.k, sum(w.w * o.u) / {den}e0 * 16.0 as d, count(*) as n from c, (values {v}) w(di, w) join c o on o.i = c.i + w.di and o.j = c.j and o.k = c.k group by all having count(*) = {n})"
         return f"with {cube_sql()}, {side('up', one)}, {side('down', two)} select c.i, c.j, c.k, c.v * case when c.v >= 0 then up.d else down.d end as value from c join up using (i, j, k) join down using (i, j, k)"
 
@@ -226,7 +247,9 @@ OPERATORS |= {f"prolong_cell_cons_o{p}": resample.children(W.average_left(p)) fo
 # Cubic Hermite with central slopes: the middle's weights, a fixed formula.
 OPERATORS |= {"prolong_vertex_hermite_o3": (ONE, {-1: Fraction(-1, 16), 0: Fraction(9, 16), 1: Fraction(9, 16), 2: Fraction(-1, 16)}), "prolong_vertex_hermite_o1": (ONE, {0: Fraction(1, 2), 1: Fraction(1, 2)})}
 for _name, (_l, _r) in OPERATORS.items():
-    add(_name, lambda s, d, l=_l, r=_r: resample.prolongate(cube(s, d, 8), U("u"), l, r), prolong_sql(_l, _r))
+    _row = PROLONG.get(_name[8:-3], {}).get(int(_name[-1]))
+    _known = (_l, _r) if _row is None else (ONE, published(_row)) if "vertex" in _name else resample.children(published(_row))
+    add(_name, lambda s, d, l=_l, r=_r: resample.prolongate(cube(s, d, 8), U("u"), l, r), prolong_sql(*_known))
 # Conservative along cell axes and interpolating along vertex axes, by centring: staggered (ddf) and natural families share the rows above.
 add("prolong_minmod", lambda s, d: resample.minmod(cube(s, d, 8), "u", "i"), f"""with {cube_sql(8, 'b')}, q as (select *, u - lag(u) over w as a, lead(u) over w - u as z from b window w as (partition by j, k order by i)),
 m as (select i, j, k, u, (case when a < 0 then -0.125e0 else 0.125e0 end + case when z < 0 then -0.125e0 else 0.125e0 end) * least(abs(a), abs(z)) as d from q where a is not null and z is not null)

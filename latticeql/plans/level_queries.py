@@ -142,7 +142,7 @@ def overflows(s, d):
     return s.range(400).select("id", *[c.alias(n) for n, c in S.checked(a, b).items()])
 
 
-_BIG = {"added": "a + b", "subtracted": "a - b", "multiplied": "x * y", "negated": "-a"}
+_BIG = {"added": "a + b", "subtracted": "a - b", "multiplied": "x * y", "negated": "-a", "divided": "case when b <> 0 then sign(a) * sign(b) * (abs(a) // abs(b)) end", "remainder": "case when b <> 0 then a - b * (sign(a) * sign(b) * (abs(a) // abs(b))) end"}
 _CHECKED = ", ".join(f"case when {e} between -9223372036854775808::hugeint and 9223372036854775807::hugeint then ({e})::bigint end as {n}" for n, e in _BIG.items() if n != "multiplied")
 # Of the product, 2^116 times a small whole number, only zero fits.
 add("checked_integers", overflows, f"with q as (select r as id, (r - 200)::hugeint * 36028797018963968 as a, (r % 7 - 3)::hugeint * 2305843009213693952 as b from range(400) t(r)) select id, {_CHECKED}, case when a = 0 or b = 0 then 0::bigint end as multiplied from q")
