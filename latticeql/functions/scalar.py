@@ -378,3 +378,52 @@ def checked(a: Column, b: Column) -> dict:
 
     more = {"divided": whole(lambda x, y: F.call_function("div", x, y)), "remainder": whole(lambda x, y: x % y)}
     return {n: of(rule) for n, rule in rules.items()} | more | {"negated": let(a, lambda x: F.try_subtract(F.lit(0).cast("long"), x))}
+
+
+def einsum(spec: str, *tensors: list) -> list | Column:
+    """An Einstein sum over nested lists of columns, as "ij,jk->ik": indices that the result lacks are summed over."""
+    from itertools import product
+
+    inputs, _, out = spec.replace(" ", "").partition("->")
+    names = inputs.split(",")
+    sizes: dict = {}
+    for letters, t in zip(names, tensors, strict=True):
+        for x in letters:
+            sizes[x], t = len(t), t[0]
+    summed = sorted(set(sizes) - set(out))
+
+    def at(t, letters: str, where: dict) -> Column:
+        for x in letters:
+            t = t[where[x]]
+        return t
+
+    def total(where: dict) -> Column:
+        terms = []
+        for values in product(*(range(sizes[x]) for x in summed)):
+            place, term = where | dict(zip(summed, values, strict=True)), None
+            for letters, t in zip(names, tensors, strict=True):
+                factor = at(t, letters, place)
+                term = factor if term is None else term * factor
+            terms.append(term)
+        return sum(terms[1:], terms[0])
+
+    def nested(left: str, where: dict):
+        return [nested(left[1:], where | {left[0]: n}) for n in range(sizes[left[0]])] if left else total(where)
+
+    return nested(out, {})
+
+
+def newton_n(f, jacobian, start: list, steps: int) -> list:
+    """Newton's method for n equations: f(x) gives n columns from n, jacobian(x) their derivatives by rows."""
+    n = len(start)
+
+    def turn(s: Column, _: Column) -> Column:
+        def moved(x: Column) -> Column:
+            here = [x[k] for k in range(n)]
+            values = F.array(*f(here), *[c for row in inverse(jacobian(here)) for c in row])
+            return let(values, lambda v: F.array(*[here[r] - sum((v[n + n * r + c] * v[c] for c in range(n)), F.lit(0.0)) for r in range(n)]))
+
+        return let(s, moved)
+
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array(*[x.cast("double") for x in start]), turn)
+    return [out[k] for k in range(n)]

@@ -32,3 +32,15 @@ def chosen(spec: str, columns: list, groups: dict | None = None) -> list:
 def cadence(own: int, general: int) -> int:
     """How often a format is written: -1 takes the general setting; 0 is never."""
     return general if own == -1 else own
+
+
+def regrid(base, refine, most: int) -> list:
+    """The levels of a hierarchy, as DataFrames of blocks: refine(levels) gives the blocks of the next level from those at hand, until
+    it gives none or there are so many."""
+    levels = [base]
+    while len(levels) < most:
+        new = refine(levels)
+        if new.isEmpty():
+            break
+        levels.append(new)
+    return levels

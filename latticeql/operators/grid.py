@@ -226,3 +226,20 @@ def refined_blocks(df: DataFrame, error: str, threshold: float, block: int) -> D
     """Blocks that hold a point of at least the threshold: regridding at the granularity of blocks."""
     keys = [F.floor(F.col(a) / block).cast("int").alias(f"b{a}") for a in AXES]
     return df.filter(F.col(error) >= threshold).select(*keys).distinct()
+
+
+def boxes(df: DataFrame, error: str, threshold: float, block: int, most: int) -> DataFrame:
+    """Boxes of a finer level: blocks that hold a tagged point, joined along i to boxes of at most so many blocks; lo and hi are their
+    first and last points, tagged and efficiency what of them asked for it."""
+    from pyspark.sql import Window
+
+    keys = [F.floor(F.col(a) / block).cast("int").alias(f"b{a}") for a in AXES]
+    tags = df.filter(F.col(error) >= threshold).groupBy(*keys).agg(F.count("*").alias("tagged"))
+    row = Window.partitionBy("bj", "bk").orderBy("bi")
+    # Blocks of one run have the same difference of place and number.
+    run = tags.withColumn("run", F.col("bi") - F.row_number().over(row))
+    first = F.min("bi").over(Window.partitionBy("bj", "bk", "run"))
+    cut = run.withColumn("part", F.floor((F.col("bi") - first) / most))
+    out = cut.groupBy("bj", "bk", "run", "part").agg(F.min("bi").alias("first"), F.max("bi").alias("last"), F.sum("tagged").alias("tagged"))
+    size = (F.col("last") - F.col("first") + 1) * block**3
+    return out.select((F.col("first") * block).alias("lo_i"), ((F.col("last") + 1) * block - 1).alias("hi_i"), *[x for a in ("j", "k") for x in ((F.col(f"b{a}") * block).alias(f"lo_{a}"), ((F.col(f"b{a}") + 1) * block - 1).alias(f"hi_{a}"))], "tagged", (F.col("tagged") / size).alias("efficiency"))

@@ -84,3 +84,36 @@ def reflux(coarse: DataFrame, fine: DataFrame, axis: str) -> DataFrame:
     rest = [a for a in AXES if a != axis]
     faces = fine.filter(F.col(axis) % 2 == 0).groupBy(*[F.floor(F.col(a) / 2).cast("int").alias(a) for a in AXES]).agg((F.sum("flux") / F.lit(4.0)).alias("fine"), F.count("*").alias("n"))
     return coarse.join(faces.filter("n = 4"), [axis, *rest]).select(*AXES, (F.col("fine") - F.col("flux")).alias("correction"))
+
+
+def new_level(coarse: DataFrame, blocks: DataFrame, value: str, left: dict, right: dict, block: int) -> DataFrame:
+    """A fine level on blocks (bi, bj, bk, of block fine cells an edge) from the coarse one alone."""
+    fine = prolongate(coarse, F.col(value), left, right, value)
+    return fine.join(blocks, [F.floor(fine[a] / block) == blocks[f"b{a}"] for a in AXES], "left_semi")
+
+
+def remake_level(old: DataFrame, coarse: DataFrame, blocks: DataFrame, value: str, left: dict, right: dict, block: int) -> DataFrame:
+    """A level on other blocks: what the old one has is copied, and the rest comes from the coarse one."""
+    new = new_level(coarse, blocks, value, left, right, block)
+    kept = old.select(*AXES, value).join(blocks, [F.floor(old[a] / block) == blocks[f"b{a}"] for a in AXES], "left_semi")
+    return kept.unionByName(new.join(kept.select(*AXES), list(AXES), "left_anti"))
+
+
+def clear_level(levels: DataFrame, level: int) -> DataFrame:
+    """Without a level and those above it."""
+    return levels.filter(F.col("level") < level)
+
+
+def refluxed(cells: DataFrame, covered: DataFrame, coarse_flux: DataFrame, fine_flux: DataFrame, axis: str, factor: float, value: str) -> DataFrame:
+    """The coarse cells with those beside the fine level corrected: at each face between a covered cell and one that isn't, the mean of
+    the fine fluxes less the coarse flux, times the factor, goes into the cell that isn't covered: added behind its lower face,
+    taken off before its upper one. Faces are numbered as the cell above them; covered: i, j, k of the covered cells."""
+    rest = [a for a in AXES if a != axis]
+    side = covered.select(*rest, F.explode(F.array(F.struct(F.col(axis).alias("face"), F.lit(-1).alias("s")), F.struct((F.col(axis) + 1).alias("face"), F.lit(1).alias("s")))).alias("e"))
+    edges = side.groupBy(*rest, F.col("e.face").alias(axis)).agg(F.count("*").alias("n"), F.sum("e.s").alias("s")).filter("n = 1")
+    change = reflux(coarse_flux, fine_flux, axis).join(edges, list(AXES))
+    # Above a covered cell (s = 1) the cell behind the face is the open one, below it the cell before.
+    target = F.when(F.col("s") > 0, F.col(axis)).otherwise(F.col(axis) - 1)
+    per_cell = change.select(*rest, target.cast("int").alias(axis), (F.col("s") * F.col("correction") * F.lit(float(factor))).alias("d_")).groupBy(*AXES).agg(F.sum("d_").alias("d_"))
+    out = cells.join(per_cell, list(AXES), "left")
+    return out.select(*[(F.col(c) + F.coalesce("d_", F.lit(0.0))).alias(c) if c == value else F.col(c) for c in cells.columns])

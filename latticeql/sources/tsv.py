@@ -43,11 +43,48 @@ def output_every(df: DataFrame, every: int, iteration: str = "iteration") -> Dat
     return df.filter(F.col(iteration) % every == 0) if every > 0 else df.limit(0)
 
 
-def write_checkpoint(groups: dict, path: str, iteration: int) -> None:
-    """Each group that is to be kept, as a table of the iteration; one that is there isn't written again."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_checkpoint(groups: dict, path: str, iteration: int, parameters: dict | None = None, structure: dict | None = None) -> bool:
+    """Each group that is to be kept, as a table of the iteration, and last a document of the parameters, the structure of the
+    hierarchy and the epoch (the checkpoints written before). A checkpoint that has its document isn't written again; one without it
+    is what a lost run left, and is replaced. Whether it was written."""
+    from latticeql.sources.records import write_json
+
+    spark = next(iter(groups.values())).sparkSession
+    here = f"{path}/iteration={iteration}"
+    if _exists(spark, f"{here}/document"):
+        return False
+    done = [x for x in _iterations(spark, path) if x < iteration]
     for name, df in groups.items():
-        df.write.mode("errorifexists").parquet(f"{path}/iteration={iteration}/{name}")
+        df.write.mode("overwrite").parquet(f"{here}/{name}")
+    write_json(spark, f"{here}/document", {"iteration": iteration, "parameters": parameters or {}, "structure": structure or {}, "epoch": len(done), "groups": sorted(groups)})
+    return True
 
 
-def recover(spark: SparkSession, path: str, iteration: int, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/iteration={iteration}/{name}")
+def _iterations(spark: SparkSession, path: str) -> list:
+    """The iterations of whole checkpoints, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n for x in names if x.startswith("iteration=") and _exists(spark, f"{path}/{x}/document") for n in [int(x.partition("=")[2])])
+
+
+def due(iteration: int, every: int, seconds: float, limit: float, last: bool = False, at_end: bool = False) -> bool:
+    """Whether a checkpoint is to be written: each so many iterations, after so many seconds since the last one, or at the end."""
+    return bool((every > 0 and iteration % every == 0) or 0 < limit <= seconds or (last and at_end))
+
+
+def recover(spark: SparkSession, path: str, iteration: int | None, name: str) -> DataFrame:
+    """A group of a checkpoint, the last whole one if no iteration is named."""
+    return spark.read.parquet(f"{path}/iteration={_iterations(spark, path)[-1] if iteration is None else iteration}/{name}")
+
+
+def recovered(spark: SparkSession, path: str, iteration: int | None = None) -> dict:
+    """The document of a checkpoint: iteration, parameters, structure, epoch, groups."""
+    from latticeql.sources.records import read_json
+
+    return read_json(spark, f"{path}/iteration={_iterations(spark, path)[-1] if iteration is None else iteration}/document")

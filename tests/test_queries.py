@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from latticeql import plans
+from latticeql.plans import depth_queries, grid_queries, level_queries, more_queries, run_queries, views
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -17,6 +18,25 @@ def con():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_views(spark):
+    """The cubes, which most queries begin with, are computed once for all of them."""
+    kept = {}
+
+    def cube(s, d, n=16):
+        if (d, n) not in kept:
+            kept[d, n] = views.cube(s, d, n).cache()
+        return kept[d, n]
+
+    modules = (depth_queries, grid_queries, level_queries, more_queries, run_queries)
+    with pytest.MonkeyPatch.context() as patch:
+        for m in modules:
+            patch.setattr(m, "cube", cube)
+        yield
+    for df in kept.values():
+        df.unpersist()
+
+
 def key(row):
     return tuple((x is None, str(x)) for x in row)
 

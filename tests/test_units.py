@@ -2,7 +2,10 @@
 
 from fractions import Fraction as Q
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from latticeql.functions import weights as W
 from latticeql.operators import grid, resample
@@ -45,12 +48,44 @@ def test_tsv_round_trip(spark, tmp_path):
     assert tsv.header(["iteration", "time"]) == "# 1:iteration\t2:time"
 
 
-def test_checkpoint_is_not_overwritten(spark, tmp_path):
-    df = spark.range(3)
-    tsv.write_checkpoint({"g": df}, f"file://{tmp_path}", 1)
-    assert tsv.recover(spark, f"file://{tmp_path}", 1, "g").count() == 3
-    with pytest.raises(Exception, match="already exists"):
-        tsv.write_checkpoint({"g": df}, f"file://{tmp_path}", 1)
+def test_a_whole_checkpoint_is_skipped_and_a_lost_one_replaced(spark, tmp_path):
+    at, df = f"file://{tmp_path}", spark.range(3)
+    assert tsv.write_checkpoint({"g": df}, at, 1, {"p": 1})
+    assert not tsv.write_checkpoint({"g": spark.range(5)}, at, 1)
+    assert tsv.recover(spark, at, 1, "g").count() == 3
+    # What a lost run left has no document: it isn't recovered from, and gives way.
+    spark.range(9).write.parquet(f"{at}/iteration=2/g")
+    assert tsv.recover(spark, at, None, "g").count() == 3
+    assert tsv.write_checkpoint({"g": spark.range(4)}, at, 2)
+    assert tsv.recover(spark, at, None, "g").count() == 4
+    assert tsv.recovered(spark, at)["epoch"] == 1 and tsv.recovered(spark, at, 1)["parameters"] == {"p": 1}
+    assert [tsv.due(6, 3, 0, 0), tsv.due(7, 3, 0, 0), tsv.due(7, 0, 60, 30), tsv.due(7, 0, 1, 30, True, True)] == [True, False, True, True]
+
+
+def test_restriction_needs_all_children_and_boundaries_their_faces(spark):
+    from latticeql.operators import grid, resample
+
+    whole = grid.points(spark, 4).withColumn("u", F.lit(1.0))
+    assert resample.restrict(whole.filter("i > 0"), "u").count() == 4
+    with pytest.raises(ValueError):
+        grid.faces("neumann", i_lower="periodic")
+    with pytest.raises(ValueError):
+        grid.faces("warm")
+    assert grid.loop(whole, "ghosts", 4).count() == 0
+    with pytest.raises(ValueError):
+        grid.loop(whole, "somewhere", 4)
+
+
+def test_a_step_of_many_stages_is_planned_in_time(spark):
+    from latticeql.operators import ode, stencil
+    from latticeql.functions import weights as W
+
+    box = stencil.summed(*[stencil.along(W.centred(2, 2), a) for a in ("i", "j", "k")])
+    state = spark.range(64).select(*[(F.floor(F.col("id") / 4**n) % 4).cast("int").alias(a) for n, a in enumerate("ijk")], F.col("id").cast("double").alias("u"))
+    began = time.time()
+    out = ode.step(state, lambda t, y: stencil.scatter(y, F.col("u"), box, 1.0, 4, True, "u"), 0.01, "dp87", ["i", "j", "k"], ["u"])
+    plan = out._jdf.queryExecution().toString()
+    assert plan.count("Scan ExistingRDD") < 8 and out.count() == 64 and time.time() - began < 120
 
 
 def test_stream_matches_batch(spark, tmp_path):
