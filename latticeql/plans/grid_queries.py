@@ -179,7 +179,6 @@ linear("staggered_gradient", stencil.along({0: Fraction(-1), 1: Fraction(1)}, "i
 linear("staggered_divergence", stencil.along({-1: Fraction(-1), 0: Fraction(1)}, "i"), 1 / H)
 add("laplacian_periodic", lambda s, d: stencil.scatter(cube(s, d), U("u"), stencil.summed(*[stencil.along(W.centred(2, 2), a) for a in AXES]), 256.0, N, True), f"with {cube_sql()} select c.i, c.j, c.k, sum(w.w * o.u) * 256.0 as value from c, (values (0, 0, 0, -6e0), (1, 0, 0, 1e0), (-1, 0, 0, 1e0), (0, 1, 0, 1e0), (0, -1, 0, 1e0), (0, 0, 1, 1e0), (0, 0, -1, 1e0)) w(di, dj, dk, w) join c o on o.i = (c.i + w.di + 16) % 16 and o.j = (c.j + w.dj + 16) % 16 and o.k = (c.k + w.dk + 16) % 16 group by all")
 NEAR = {f"{s}{a}": tuple((1 if s == "p" else -1) if x == a else 0 for x in AXES) for a in AXES for s in "pm"}
-NEAR_SQL = " ".join(f"join c {n} on {' and '.join(f'{n}.{a} = c.{a} + {o}' for a, o in zip(AXES, k, strict=True))}" for n, k in NEAR.items())
 
 
 def energy(s, d):
@@ -188,7 +187,8 @@ def energy(s, d):
     return near.select(*AXES, (squares / F.lit(2.0)).alias("energy"))
 
 
-add("energy_density", energy, f"with {cube_sql()} select c.i, c.j, c.k, (c.v * c.v + {' + '.join(f'pow((p{a}.u - m{a}.u) * 8e0, 2)' for a in AXES)}) / 2e0 as energy from c {NEAR_SQL}")
+_BESIDE = ", ".join(f"{f}(u) over (partition by {', '.join(b for b in AXES if b != a)} order by {a}) as {n}{a}" for a in AXES for f, n in (("lead", "p"), ("lag", "m")))
+add("energy_density", energy, f"with {cube_sql()}, q as (select *, {_BESIDE} from c) select i, j, k, (v * v + {' + '.join(f'pow((p{a} - m{a}) * 8e0, 2)' for a in AXES)}) / 2e0 as energy from q where {' and '.join(f'{n}{a} is not null' for a in AXES for n in 'pm')}")
 
 
 def curl(s, d):

@@ -21,7 +21,7 @@ def cube(spark: SparkSession, sf_dir: str, n: int = 16) -> DataFrame:
 def cube_sql(n: int = 16, name: str = "c") -> str:
     return f"""g_{name} as (select (r % {n})::int as i, ((r // {n}) % {n})::int as j, (r // {n * n})::int as k from range({n**3}) t(r)),
 a_{name} as (select (l_suppkey % {n})::int as i, (l_partkey % {n})::int as j, (l_orderkey % {n})::int as k, sum(l_quantity) as u, count(*) as c from lineitem group by all),
-{name} as (select i, j, k, coalesce(u, 0)::double as u, (coalesce(c, 0) % 7 - 3)::double as v from g_{name} left join a_{name} using (i, j, k))"""
+{name} as materialized (select i, j, k, coalesce(u, 0)::double as u, (coalesce(c, 0) % 7 - 3)::double as v from g_{name} left join a_{name} using (i, j, k))"""
 
 
 def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
