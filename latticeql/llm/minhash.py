@@ -1,8 +1,8 @@
-"""The verified form of SimHash groups: near-duplicate groups by the exact Jaccard similarity of word shingles.
+"""MinHash groups: near-duplicate groups by the exact Jaccard similarity of word shingles (jaccard). An operator of its own; the pipeline's
+near-dedup is by SimHash (simhash_jaccard).
 
-A text's shingles are its runs of WORDS words, in lower case; a text of fewer words is one shingle. Two texts are linked if their
-sets have a Jaccard similarity of at least SHARE, and a group is what links connect. Candidates are texts whose fingerprints the
-SimHash operator links, and, as texts at 0.8 differ in some 10 of 64 bits and no covering code reaches so far, those that share one of
+Two texts are linked if their sets of shingles have a Jaccard similarity of at least SHARE hundredths, and a group is what links
+connect. Candidates are texts whose fingerprints the SimHash operator links, and, as texts at 0.8 differ in some 10 of 64 bits and no covering code reaches so far, those that share one of
 BANDS bands of ROWS minima of the same hashes: a pair at similarity 0.8 shares none with a chance of (1 - 0.8^4)^32 = 5e-8, a pair at
 0.9 of 4e-15. What is linked is decided by the sets (of 64-bit hashes) alone.
 
@@ -28,35 +28,21 @@ from pyspark.sql import functions as F
 
 from latticeql.llm import bpe
 from latticeql.llm.common import bound_batches, join_groups, shuffle_partitions, text_of, written
+from latticeql.llm.jaccard import shingles, verified
 from latticeql.llm.simhash import bits, components, majority
 from latticeql.llm.simhash import links as fingerprint_links
 
-#: Words of a shingle; hundredths of similarity that link; bands and minima of a band; seed of the hashes.
-WORDS, SHARE, BANDS, ROWS, SEED = 5, 80, 32, 4, 42
+#: Bands and minima of a band; seed of the factors.
+BANDS, ROWS, SEED = 32, 4, 42
 #: Minima, of all, that a candidate pair needs in common; texts of a band that are compared as one block.
 ALIKE, ROWS_A_BLOCK = 74, 1024
-#: Shingles hashed at a time, so that very long texts need no more memory, and those whose minima are taken at a time.
-CHUNK, BLOCK = 1 << 16, 512
+#: Shingles whose minima are taken at a time.
+BLOCK = 512
 
 #: Odd factors: x -> factor * x is a permutation of the 32-bit numbers.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def shingles(text: bytes, words: int = WORDS):
-    """The 64-bit hashes of the shingles of a text, in arrays of up to CHUNK."""
-    tokens = text.lower().split()
-    if not tokens:
-        return
-    joined = b" ".join(tokens)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n, hash_ = max(1, len(tokens) - words + 1), xxhash.xxh64_intdigest
-    last = ends[min(words, len(tokens)) - 1 :]
-    for a in range(0, n, CHUNK):
-        z = min(n, a + CHUNK)
-        yield np.fromiter((hash_(joined[i:j], SEED) for i, j in zip(starts[a:z].tolist(), last[a:z].tolist(), strict=True)), np.uint64, z - a)
-
-
 def sketch(text: bytes) -> tuple[np.ndarray, int, bytes]:
     """The BANDS keys of a text, signed hashes of a band's number and its minima, the SimHash of the same shingles, and a byte of
     each minimum."""
@@ -71,31 +57,6 @@ def sketch(text: bytes) -> tuple[np.ndarray, int, bytes]:
     return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64), majority(counts, n), least.astype(np.uint8).tobytes()
 
 
-def alike(one: bytes, two: bytes) -> bool:
-    """Whether the Jaccard similarity of the shingles is at least SHARE hundredths."""
-    a, b = (np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(t)])) for t in (one, two))
-    if not len(a) or not len(b):
-        return len(a) == len(b)
-    if 100 * min(len(a), len(b)) < SHARE * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= SHARE * (len(a) + len(b) - both)
-
-
-def _alike(one: pa.Array, two: pa.Array) -> pa.Array:
-    return pa.array([alike(a, b) for a, b in zip(bpe.texts(one), bpe.texts(two), strict=True)], pa.bool_())
-
-
-def verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Those of the pairs a, b whose texts are alike. texts: h, text; sketches: h, copies."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(sketches.select("h", "copies"), "h")
-    held = written(join_groups(texts, written(nodes, "compared"), ["h"], "copies").dropDuplicates(["h"]).select("h", "text"), "compared-texts")
-    one, two = (held.select(F.col("h").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    # Texts are long and pairs few: sizes in bytes would put the comparisons into a task or two.
-    spread = pairs.join(one, "a").join(two, "b").repartition(shuffle_partitions(pairs.sparkSession))
-    return spread.filter(F.arrow_udf(_alike, "boolean")("text_a", "text_b")).select("a", "b")
-
-
 def covered(sketches: DataFrame) -> DataFrame:
     """a, b: pairs of texts that connect what their fingerprints do. sketches: h, fp, a row for each text."""
     reps = written(sketches.groupBy("fp").agg(F.min("h").alias("rep")), "representatives")

@@ -288,9 +288,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     further columns of docs (also: by name): a row for each row of docs. With verified the links are those texts whose sets of
     five-word shingles have a Jaccard similarity of 0.8 or more, and the columns id_col, component and the further ones."""
     if verified:
-        from latticeql.llm import minhash
+        from latticeql.llm import simhash_jaccard
 
-        return minhash.near_duplicates(docs, id_col, text_col, also)
+        return simhash_jaccard.near_duplicates(docs, id_col, text_col, also)
     prints = fingerprints(docs, id_col, text_col, words, also)
     reps = written(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("size_")), "representatives")
     found = components(links(reps.select("fp", F.col("fp").alias("rep")), block=block))
